@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, substring_dedup, token_counts
-from .common import read
+from . import bpe, ngram_join, quality, substring_dedup, token_counts, toxicity
+from .common import held_out, read
 
 
 def tokenizer_file(name: str) -> str:
@@ -15,6 +15,21 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels")
+    return labels.filter(~held_out(F.col("doc_id")))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score_quality(read(spark, sf_dir, "documents"), _labels(spark, sf_dir), keep=["doc_id"])
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_toxicity(read(spark, sf_dir, "documents"), _labels(spark, sf_dir), keep=["doc_id"])
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), window=20, keep=[])
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -25,6 +40,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(read(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), keep=["doc_id"])
     return out.select(
@@ -37,8 +56,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_quality": op1_quality,
+        "op2_toxicity": op2_toxicity,
         "op3_substring_dedup": op3_substring_dedup,
         "op6_token_counts": op6_token_counts,
+        "op8_ngram_join": op8_ngram_join,
         "op10_bpe": op10_bpe,
     }
 
