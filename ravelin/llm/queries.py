@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, quality, substring_dedup, token_counts, toxicity
+from . import bpe, chat, fingerprints, ngram_join, quality, substring_dedup, token_counts, toxicity
 from .common import held_out, read
 
 
@@ -40,6 +40,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.near_copies(read(spark, sf_dir, "documents"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(read(spark, sf_dir, "conversations"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(read(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -60,7 +68,9 @@ def queries() -> dict:
         "op2_toxicity": op2_toxicity,
         "op3_substring_dedup": op3_substring_dedup,
         "op6_token_counts": op6_token_counts,
+        "op7_fingerprints": op7_fingerprints,
         "op8_ngram_join": op8_ngram_join,
+        "op9_chat": op9_chat,
         "op10_bpe": op10_bpe,
     }
 

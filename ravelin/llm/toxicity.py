@@ -104,7 +104,7 @@ class Rows:
         return np.bincount(self.at, self.value * r[self.row], self.width)
 
 
-def train(features: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], most: int = 20_000, least: int = 4, strength: float = 4.0, ridge: float = 1e-4, rounds: int = 400) -> tuple[dict[int, float], float]:
+def train(features: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], most: int = 20_000, least: int = 4, strength: float = 4.0, ridge: float = 3e-5, rounds: int = 800, positive: float = 4.0) -> tuple[dict[int, float], float]:
     """Weights by place and the intercept."""
     n, pos = len(y), y.sum()
     df = np.zeros(HASHED)
@@ -126,10 +126,11 @@ def train(features: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarra
     gone = [(cut(np.setdiff1d(a, b)), cut(np.setdiff1d(b, a))) for a, b in pairs]
     d = Rows([np.concatenate(g) for g in gone], [np.r_[np.ones(len(g[0])), -np.ones(len(g[1]))] for g in gone] or None, len(chosen))
     w, b = np.zeros(len(chosen)), np.log((pos + 1) / (n - pos + 1))
+    weight = np.where(y > 0, positive, 1.0)  # texts with one hint only are rare among label 1
     m, v, step = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), 0.05
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x.dot(w) + b, -40, 40)))
-        r = (p - y) / n
+        r = (p - y) * weight / n
         g = x.back(r) + ridge * w
         if len(gone):
             g += 2 * strength / len(gone) * d.back(d.dot(w))
