@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import arrow_list
+
 # Fixed values of the published byte-level pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -273,8 +275,8 @@ class Codec:
         return b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-def encode_decode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
-    """Adds `ids` (binary: little-endian unsigned 32-bit ids) and `decoded`, the text they give.
+def encode_decode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, ids: str = "ids", decoded: str | None = "decoded", as_list: bool = False) -> DataFrame:
+    """Adds `ids` (binary: little-endian unsigned 32-bit ids, or with `as_list` an array of int) and `decoded`, the text they give.
 
     `keep` names the columns that stay (all by default). A column of the frame
     with the name of a new one is replaced. Null texts count as empty, repeated
@@ -283,13 +285,14 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: list[str]
     """
     keep = [c for c in (keep if keep is not None else df.columns) if c not in (ids, decoded)]
     src = df.select(*keep, df[text].alias("__text"))
-    schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), f"`{ids}` binary", *([f"`{decoded}` string"] if decoded else [])])
+    schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), f"`{ids}` {'array<int>' if as_list else 'binary'}", *([f"`{decoded}` string"] if decoded else [])])
 
     def run(batches):
         codec = Codec(path)
         for batch in batches:
             got = codec.encode_batch(batch.column(batch.num_columns - 1).to_pylist())
-            cols = [*batch.columns[:-1], pa.array(got, pa.binary())]
+            packed = arrow_list(np.frombuffer(b"".join(got), "<u4").astype(np.int32), [len(x) // 4 for x in got], pa.int32()) if as_list else pa.array(got, pa.binary())
+            cols = [*batch.columns[:-1], packed]
             if decoded:
                 cols.append(pa.array([codec.decode(x) for x in got], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, ids, *([decoded] if decoded else [])])
