@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import union_all
 
 ANCHOR, WALKS, TABLES, BITS = 3, 6, 48, 3
+WINDOWS = 4_096  # embedded at once
 ITEMS, CHARS = 5_000, 4_000_000
 _WORDS = re.compile(r"\w+")
 
@@ -70,14 +71,15 @@ def best_edits(item: str, text: str) -> tuple[int, int]:
 def embed(x: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """CGK walks of byte rows (0 after the end): one output byte a step. moves: (steps, 256) of 0 and 1."""
     n, width = x.shape
-    padded = np.concatenate([x, np.zeros((n, 1), np.uint8)], 1)
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    out = np.empty((n, len(moves)), np.uint8)
-    for j, move in enumerate(moves):
-        c = padded[rows, at]
-        out[:, j] = c
-        at = np.minimum(at + move[c], width)
-    return out
+    flat = np.concatenate([x, np.zeros((n, 1), np.uint8)], 1).ravel()
+    at = np.arange(n) * (width + 1)
+    end = at + width
+    out = np.empty((len(moves), n), np.uint8)
+    for c, move in zip(out, moves, strict=True):
+        np.take(flat, at, out=c)
+        at += move.take(c)
+        np.minimum(at, end, out=at)
+    return out.T
 
 
 class Items:
@@ -110,18 +112,16 @@ class Items:
         self.keys = {n: np.array(sorted(k for m, k in self.anchors if m == n), np.int64) for n in range(1, ANCHOR + 1)}
         longest = max((len(t) for t in self.texts), default=1)
         self.moves = rng.integers(0, 2, (WALKS, 3 * longest, 256)).astype(np.int64)
-        self.samples, self.marks = [], []
+        self.samples, self.marks, bags = [], [], []
         for t in self.texts:
             size = max(1, 2 * len(t))
             at = rng.integers(0, size, (TABLES, BITS))
             self.samples.append(at)
-            row = np.frombuffer(t.encode("latin-1", "replace"), np.uint8)[None, :]
-            self.marks.append(self._sample(row, at))
-
-    def _sample(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        steps = int(at.max()) + 1
-        per = TABLES // WALKS
-        return np.concatenate([embed(x, self.moves[w][:steps])[:, at[w * per : (w + 1) * per]] for w in range(WALKS)], 1)
+            row = np.frombuffer(t.encode("latin-1", "replace"), np.uint8)
+            bags.append(np.bincount(row, minlength=256))
+            per, steps = TABLES // WALKS, int(at.max()) + 1
+            self.marks.append(np.concatenate([embed(row[None, :], self.moves[w][:steps])[0][at[w * per : (w + 1) * per]] for w in range(WALKS)]))
+        self.samples, self.marks, self.bags = np.array(self.samples), np.array(self.marks), np.array(bags, np.int32)
 
     def starts(self, words: list[str]) -> dict[int, set[int]]:
         """Per item the word positions where it would start."""
@@ -143,37 +143,72 @@ class Items:
                     out.setdefault(k, set()).add(p - o)
         return out
 
-    def find(self, text: str | None, any_one: bool = False) -> list[tuple[int, int, int, float]]:
-        """(item_id, first word of the window, edits, similarity): the best passage per item within the limit."""
-        words = normal_words(text)
-        out = []
-        for k, starts in sorted(self.starts(words).items()):
-            m, item = len(self.words[k]), self.texts[k]
-            limit, slack = int(self.max_edits * len(item)), m // 5 + 3
-            order = sorted({max(0, s) for s in starts})
-            alike = []
-            for lo in range(0, len(order), 4096):
-                part = order[lo : lo + 4096]
-                x = np.zeros((len(part), len(item)), np.uint8)
-                for r, s in enumerate(part):
-                    raw = " ".join(words[s : s + m + slack])[: len(item)].encode("latin-1", "replace")
-                    x[r, : len(raw)] = np.frombuffer(raw, np.uint8)
-                alike += np.asarray(part)[(self._sample(x, self.samples[k]) == self.marks[k]).all(2).any(1)].tolist()
-            best, seen = None, -1
-            for s in alike:
-                if s < seen:  # within a region that has been verified
-                    continue
-                a, b = max(0, s - slack), min(len(words), s + m + slack)
-                edits, _ = best_edits(item, " ".join(words[a:b]))
-                seen = s + max(1, slack - 3)
-                if edits <= limit and (best is None or edits < best[1]):
-                    best = (s, edits)
-                    if not edits:
-                        break
-            if best:
-                out.append((self.ids[k], best[0], best[1], 1 - best[1] / len(item)))
-                if any_one:
+    def _alike(self, windows: list[tuple[int, bytes]]) -> np.ndarray:
+        """Which windows (item, text as bytes) agree with their item in at least one sample."""
+        size = np.array([len(self.texts[k]) for k, _ in windows])
+        order = np.argsort(size, kind="stable")
+        out, per = np.zeros(len(windows), bool), TABLES // WALKS
+        for lo in range(0, len(order), WINDOWS):
+            part = order[lo : lo + WINDOWS]
+            width = int(size[part].max())
+            x = np.zeros((len(part), width), np.uint8)
+            for r, w in enumerate(part.tolist()):
+                raw = windows[w][1]
+                x[r, : len(raw)] = np.frombuffer(raw, np.uint8)
+            k = np.array([windows[w][0] for w in part.tolist()])
+            # characters that have no partner need an edit each
+            bags = np.stack([np.bincount(row, minlength=256) for row in x]).astype(np.int32)
+            bags[:, 0] = 0
+            gap = np.maximum(bags - self.bags[k], 0).sum(1), np.maximum(self.bags[k] - bags, 0).sum(1)
+            fits = np.maximum(*gap) <= 2 * self.max_edits * size[part] + 4  # the window may be off by the edits before it
+            part, x, k = part[fits], x[fits], k[fits]
+            hit = np.zeros(len(part), bool)
+            for w in range(WALKS):
+                at = self.samples[k][:, w * per : (w + 1) * per].reshape(len(part), per * BITS)
+                if not len(part):
                     break
+                walk = embed(x, self.moves[w][: int(at.max()) + 1])
+                same = np.take_along_axis(walk, at, 1).reshape(len(part), per, BITS) == self.marks[k, w * per : (w + 1) * per]
+                hit |= same.all(2).any(1)
+            out[part[hit]] = True
+        return out
+
+    def find(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
+        """Per text (item_id, first word of the window, edits, similarity): the best passage per item within the limit."""
+        docs = [normal_words(t) for t in texts]
+        windows: dict[tuple[int, bytes], int] = {}
+        wanted: list[list[tuple[int, list[tuple[int, int]]]]] = []
+        for words in docs:
+            mine = []
+            for k, starts in sorted(self.starts(words).items()):
+                m, size, slack = len(self.words[k]), len(self.texts[k]), len(self.words[k]) // 5 + 3
+                places = []
+                for s in sorted({max(0, s) for s in starts}):
+                    raw = " ".join(words[s : s + m + slack])[:size].encode("latin-1", "replace")
+                    places.append((s, windows.setdefault((k, raw), len(windows))))
+                mine.append((k, places))
+            wanted.append(mine)
+        alike = self._alike([*windows]) if windows else np.empty(0, bool)
+        out = []
+        for words, mine in zip(docs, wanted, strict=True):
+            hits = []
+            for k, places in mine:
+                m, item = len(self.words[k]), self.texts[k]
+                limit, slack = int(self.max_edits * len(item)), m // 5 + 3
+                best, seen, tried = None, -1, set()
+                for s, w in places:
+                    if not alike[w] or w in tried or s < seen:  # verified with the region around an earlier start
+                        continue
+                    tried.add(w)
+                    edits, _ = best_edits(item, " ".join(words[max(0, s - slack) : s + m + slack]))
+                    seen = s + max(1, slack - 3)
+                    if edits <= limit and (best is None or edits < best[1]):
+                        best = (s, edits)
+                        if not edits:
+                            break
+                if best:
+                    hits.append((self.ids[k], best[0], best[1], 1 - best[1] / len(item)))
+            out.append(hits)
         return out
 
 
@@ -196,7 +231,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float =
         def run(batches, shared=shared):
             items = Items(shared.value, max_edits)
             for batch in batches:
-                yield batch.filter(pa.array([not items.find(t, any_one=True) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not hits for hits in items.find(batch.column(batch.num_columns - 1).to_pylist())], pa.bool_()))
 
         out = out.mapInArrow(run, out.schema)
     return out.select(*columns)
@@ -214,7 +249,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, do
         def run(batches):
             items = Items(shared.value, max_edits)
             for batch in batches:
-                out = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in items.find(t)]
+                out = [(d, *hit) for d, hits in zip(batch.column(0).to_pylist(), items.find(batch.column(1).to_pylist()), strict=True) for hit in hits]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
