@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, arrow_list, rolling, signed
+from .common import Scratch, WordHasher, rolling, signed
 
 SEED = 6
 SHARD_WORDS = 300_000
@@ -88,13 +88,13 @@ def _candidates(hasher, words, seeds, window, k):
 
 
 def _windows(joined: DataFrame, window: int, k: int) -> DataFrame:
-    """(w1, w2, doc_id, pos) of candidate windows; joined: doc_id, raw, seeds, copy."""
+    """(w1, w2, doc_id, pos) of candidate windows; joined: doc_id, raw, seeds, copy and what else there is."""
 
     def run(batches):
         hasher = _Hasher()
         for batch in batches:
             parts = []
-            for i, raw, seeds, copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, raw, seeds, copy in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
                 if copy or not seeds or len(words := raw.split()) < window:
                     continue
                 h, cand = _candidates(hasher, words, seeds, window, k)
@@ -167,18 +167,22 @@ def remove_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", te
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).cast("binary").alias("raw"), F.struct(F.lit(0).alias("__0"), *keep).alias("rest"))
     known = base.filter("doc_id is not null").select("doc_id", "raw")
 
+    # Tables, so that each pass over the texts runs once, and so that a join
+    # shuffles both sides and can split a hot key.
+    scratch = Scratch(docs.sparkSession)
     hashed = known.select("doc_id", F.sha2("raw", 256).alias("sha"))
-    classes = hashed.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last")
+    classes = scratch.keep(hashed.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last"))
     copies = hashed.join(classes, "sha").filter("doc_id > rep").select("doc_id").distinct()
 
-    seeds = _seeds(known, window, k)
-    recurring = seeds.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
+    seeds = scratch.keep(_seeds(known, window, k))
+    recurring = scratch.keep(seeds.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"))
     marked = seeds.join(recurring, "seed").select("doc_id", "seed", F.lit(False).alias("copy"))
     marked = marked.unionByName(copies.select("doc_id", F.lit(None).cast("long").alias("seed"), F.lit(True).alias("copy")))
-    lists = marked.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"), F.max("copy").alias("copy"))
+    lists = scratch.keep(marked.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"), F.max("copy").alias("copy")))
+    scratch.drop(seeds, recurring, classes)
 
-    joined = base.join(lists, "doc_id", "left")
-    windows = _windows(base.join(lists, "doc_id").select("doc_id", "raw", "seeds", "copy"), window, k)
+    joined = base.join(lists, "doc_id", "left")  # used twice in the same form: the texts are shuffled once
+    windows = _windows(joined.select("doc_id", "raw", "seeds", "copy", "rest"), window, k)
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
     firsts = first.groupBy("at.doc_id").agg(F.collect_set("at.pos").alias("firsts"))
     full = joined.join(firsts, "doc_id", "left").select("doc_id", "rest", "raw", "seeds", F.coalesce("copy", F.lit(False)).alias("copy"), "firsts")
