@@ -220,6 +220,7 @@ def join_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str = "
 
     rows = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
     groups = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top")
+    groups = scratch.keep(groups)  # so the join below shuffles both sides and can split a hot key
     shared = scratch.keep(rows.join(groups.select("key", "c", "hub"), "key"))
     sigs = reps.select(F.col("doc_id").alias("rep"), "n", "sig")
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
