@@ -100,14 +100,57 @@ class WordHasher:
     def __call__(self, tokens: list[str]) -> np.ndarray:
         seen = self._seen
         try:
-            return np.array([seen[w] for w in tokens], np.uint64)
+            return np.fromiter(map(seen.__getitem__, tokens), np.uint64, len(tokens))
         except KeyError:
             if len(seen) > self._most:
                 seen.clear()
             h = self._hash
             for w in set(tokens).difference(seen):
                 seen[w] = h(w.encode("utf-8", "surrogatepass"))
-            return np.array([seen[w] for w in tokens], np.uint64)
+            return np.fromiter(map(seen.__getitem__, tokens), np.uint64, len(tokens))
+
+
+class TextHasher:
+    """64-bit hashes of all words of a text at once, without making the words.
+
+    A word's hash is a polynomial over random numbers that stand for its bytes,
+    from differences of one running sum, then mixed; it doesn't depend on where
+    the word is. Texts are taken in pieces of about PIECE bytes, cut at white space.
+    """
+
+    PIECE = 1 << 18
+    BASE = 0x9E3779B97F4A7C13  # 3 mod 8, so powers of it differ in low bits
+
+    def __init__(self, fold: bool):
+        self._values = mix(np.arange(1, 257, dtype=np.uint64))
+        if fold:
+            self._values[65:91] = self._values[97:123]
+        self._space = np.zeros(256, bool)
+        self._space[[32, *range(9, 14)]] = True
+        self._grow(4096)
+
+    def _grow(self, n: int) -> None:
+        inverse = pow(self.BASE, -1, 1 << 64)
+        self._up, self._down = (np.multiply.accumulate(np.array([1] + [x] * n, np.uint64)) for x in (self.BASE, inverse))
+
+    def _piece(self, data: np.ndarray, space: np.ndarray) -> np.ndarray:
+        if len(data) >= len(self._up):
+            self._grow(max(len(data), 2 * len(self._up)))
+        edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        start, end = edges[::2], edges[1::2]
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self._values[data] * self._up[: len(data)], out=total[1:])
+        return mix((total[end] - total[start]) * self._down[start] ^ (end - start).astype(np.uint64))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        space = self._space[data]
+        if len(data) <= self.PIECE:
+            return self._piece(data, space)
+        gaps = np.flatnonzero(space)
+        cuts = gaps[np.minimum(np.searchsorted(gaps, np.arange(self.PIECE, len(data), self.PIECE)), max(len(gaps) - 1, 0))] if len(gaps) else gaps
+        bounds = np.unique(np.concatenate(([0], cuts, [len(data)]))).tolist()
+        return np.concatenate([self._piece(data[a:b], space[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)])
 
 
 def rolling(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:

@@ -4,7 +4,7 @@ A document's set holds its distinct runs of k words (A-Z lower-cased; a shorter
 text is one run). Two documents link when |a & b| / |a | b| reaches a threshold.
 
 1. Documents with equal sets are one class; its smallest doc_id stands for it.
-2. Routing. ROUTES keys per set, each the smallest of its salted shingle hashes,
+2. Routing. ROUTES keys per set, each the smallest of its shingle hashes under a salt,
    bring linked documents together: two sets of likeness J share no key with
    probability (1 - J) ** ROUTES, 7e-14 at 0.85 and 7e-12 at 0.8.
 3. Trees. Under each key a tree over the members in order of size; a node holds
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, WordHasher, arrow_list, ascii_lower, components, mix, rolling, signed
+from .common import Scratch, TextHasher, arrow_list, components, mix, rolling, signed
 
 ROUTES = 16
 BITS = 2048
@@ -44,12 +44,21 @@ BLOCK = 1024
 LEAF = 8
 
 
-def shingles(hasher: WordHasher, text: str | None, k: int) -> np.ndarray:
+def shingles(hasher: TextHasher, text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of k words; of the whole sequence if it is shorter."""
-    words = WORD.findall(ascii_lower(text)) if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(rolling(hasher(words), min(k, len(words))) ^ np.uint64(0 if len(words) >= k else len(words)))
+    words = hasher(text)
+    if not len(words):
+        return words
+    runs = np.sort(rolling(words, min(k, len(words))) ^ np.uint64(0 if len(words) >= k else len(words)))
+    return runs[np.concatenate(([True], runs[1:] != runs[:-1]))]
+
+
+def routes(s: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """The smallest of the set's hashes under each salt; the hashes are mixed already, so an odd factor re-orders them."""
+    least = np.full(len(salts), np.iinfo(np.uint64).max)
+    for lo in range(0, len(s), 4096):
+        np.minimum(least, (s[lo : lo + 4096] * salts[:, None]).min(1), out=least)
+    return mix(least ^ salts)
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -59,10 +68,10 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    salts = mix(np.arange(1, ROUTES + 1, dtype=np.uint64))
+    salts = mix(np.arange(1, ROUTES + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches):
-        hasher = WordHasher()
+        hasher = TextHasher(fold=True)
         for batch in batches:
             n, s1, s2, keys, sizes, sigs = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -71,7 +80,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 s1.append(int(mix(s).sum(dtype=np.uint64)) if len(s) else 0)
                 s2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(s) else 0)
                 if len(s):
-                    keys.append(np.array([mix(s ^ x).min() for x in salts]) ^ salts)
+                    keys.append(routes(s, salts))
                     sizes.append(ROUTES)
                     sigs.append(bitmap(s).tobytes())
                 else:
@@ -190,7 +199,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
     )
 
     def run(batches):
-        hasher = WordHasher()
+        hasher = TextHasher(fold=True)
         for batch in batches:
             seen: dict[int, np.ndarray] = {}
             keep = []

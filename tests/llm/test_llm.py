@@ -253,3 +253,29 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert 50 < len(out) < len(corpus) and all(len(r.ids) == r.n_tokens for r in out)
+
+
+def test_text_hasher_follows_the_word_pattern():
+    from ravelin.llm.common import WORD, TextHasher, ascii_lower
+
+    hasher, seen = TextHasher(fold=True), {}
+    for text in ("A\x1c\x1d\x85\xa0  B \x0b\x0cÉÀ\x00 Z a b", "", " \n ", None, "ab ba aab aba " * 40_000, "x" * 300_000 + " y " + "x" * 300_000):
+        found = WORD.findall(ascii_lower(text)) if text else []
+        hashes = hasher(text).tolist()
+        assert len(found) == len(hashes)
+        for word, h in zip(found, hashes, strict=True):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_routes_meet_as_often_as_the_sets_are_alike():
+    from ravelin.llm.common import mix
+    from ravelin.llm.ngram_join import ROUTES, routes
+
+    salts, rng = mix(np.arange(1, ROUTES + 1, dtype=np.uint64)) | np.uint64(1), np.random.default_rng(1)
+    met = []
+    for _ in range(1000):
+        a = rng.integers(0, 2**63, 200, dtype=np.uint64)
+        b = np.concatenate([a[16:], rng.integers(0, 2**63, 16, dtype=np.uint64)])
+        met.append((routes(a, salts) == routes(b, salts)).sum())
+    assert abs(np.mean(met) / ROUTES - 184 / 216) < 0.02 and min(met) > 4
