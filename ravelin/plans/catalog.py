@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths, scoring
-from ..operators import graph, retrieval, temporal
+from ..functions import excludes, paths, scoring, secrets
+from ..operators import graph, imports, retrieval, temporal
 from ..sources import tables as t
+from ..streaming import revisions
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -517,3 +518,49 @@ def claim_history(spark, d):
 def json_metadata(spark, d):
     """Tolerant reads of JSON text."""
     return t.load(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.expr("try_cast(get_json_object(props, '$.k') as bigint)")).alias("k"))
+
+
+# -- sources, parsing, streams ---------------------------------------------------------
+
+IGNORE, LEFT_OUT = ["*.html", "!en/*.html", "de/"], ["es/**"]
+_REL = f"ltrim({URLPATH}, '/')"
+
+
+@query("excluded_paths", f"""SELECT page_id, CASE WHEN regexp_matches(p, '^(.*/)?(\\.env|secret[^/]*|credentials\\.[^/]*)$') THEN 'secret' WHEN regexp_matches(p, '^es/.*$') THEN 'config'
+WHEN p = 'de' OR regexp_matches(p, '^(.*/)?de$') THEN 'ignore' WHEN regexp_matches(p, '^en/[^/]*\\.html$') THEN NULL WHEN regexp_matches(p, '\\.html$') THEN 'ignore' END AS reason FROM (SELECT page_id, {_REL} AS p FROM pages)""")
+def excluded_paths(spark, d):
+    """A2: secrets, configured globs, then ignore lines of which the last match decides."""
+    p = F.ltrim(F.regexp_extract("url", r"^[^:]*://[^/?#]*([^?#]*)", 1), F.lit("/"))
+    return t.load(spark, d, "pages").select("page_id", excludes.excluded(p, LEFT_OUT, IGNORE).alias("reason"))
+
+
+def _scrub_sql() -> str:
+    text, counts = "text", []
+    for name, pattern in secrets.PATTERNS.items():
+        lit = pattern.replace("'", "''")
+        counts.append(f"len(regexp_extract_all({text}, '{lit}'))")
+        text = f"regexp_replace({text}, '{lit}', '[REDACTED {name}]', 'g')"
+    return f"SELECT doc_id, coalesce({' + '.join(counts)}, 0)::BIGINT AS secrets_found, sha256({text}) AS scrubbed_sha256 FROM documents"
+
+
+@query("secret_scrub", _scrub_sql())
+def secret_scrub(spark, d):
+    """Texts without secrets, and how many there were."""
+    text = F.col("text")
+    return t.load(spark, d, "documents").select("doc_id", secrets.found(text).cast("long").alias("secrets_found"), F.sha2(secrets.scrub(text), 256).alias("scrubbed_sha256"))
+
+
+@query("activity_stream", "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def activity_stream(spark, d):
+    """Counts per day and kind, from a stream of the events."""
+    events = spark.readStream.schema(t.load(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # as a pattern the table may be one file or a folder
+    return revisions.drain(revisions.activity(events)).select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+
+
+@query("symbol_fallback", """WITH i AS (SELECT DISTINCT o_custkey AS path, o_orderdate AS name FROM orders WHERE o_orderstatus = 'F'), s AS (SELECT DISTINCT o_custkey AS target, o_orderdate AS name FROM orders WHERE o_orderstatus = 'P'),
+h AS (SELECT path, name, target, count(*) OVER (PARTITION BY path, name) AS n FROM i JOIN s USING (name) WHERE path <> target) SELECT path, epoch(name)::BIGINT AS name, target, CASE n WHEN 1 THEN 'medium' ELSE 'low' END AS band FROM h""")
+def symbol_fallback(spark, d):
+    """Who defines what is imported by name; a single target is surer."""
+    o = t.load(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderdate").alias("name"), "o_orderstatus")
+    out = imports.by_symbol(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'P'"))
+    return out.select("path", F.unix_timestamp("name").alias("name"), "target", "band")
