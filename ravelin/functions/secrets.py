@@ -12,7 +12,7 @@ PATTERNS = {
     "slack-token": "xox[abprs]-[0-9A-Za-z-]{10,}",
     "github-token": "gh[pousr]_[0-9A-Za-z]{36}",
     "bearer": "Bearer [0-9A-Za-z._~+/-]{20,}",
-    "assignment": "(?:password|passwd|secret|api_key|token)[=:][^ \\t\\n\\r\"';,]{8,}",
+    "assignment": "(?i)(?:password|passwd|secret|api_key|token) ?[=:] ?[\"']?[^ \\t\\n\\r\"';,\\[\\]]{8,}[\"']?",
 }
 
 
