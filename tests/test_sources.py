@@ -1,6 +1,9 @@
+import subprocess
+
 from pyspark.sql import functions as F
 from ravelin.functions import excludes, secrets
 from ravelin.operators import imports, symbols
+from ravelin.sources import files as sources
 from ravelin.streaming import revisions
 
 
@@ -67,3 +70,72 @@ def test_drained_stream_equals_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "events"))
     want = made.groupBy(F.date_trunc("day", "ts").alias("start"), "event_type").agg(F.count("*").alias("n"))
     assert rows(revisions.drain(revisions.activity(stream))) == rows(want)
+
+
+def test_package_rust_java_and_go_imports(spark):
+    made = [
+        "packages/core/src/index.ts", "src/a.ts", "src/lib.rs", "src/models.rs", "src/net/mod.rs", "src/net/tcp.rs", "src/auth.rs", "src/auth/jwt.rs", "com/ex/Foo.java", "com/ex/Bar.java",
+        "x/pkg/utils/b.go", "x/pkg/utils/a.go", "main.go", "m.py",
+    ]
+    files = spark.createDataFrame([(p,) for p in made], "path string")
+    want = {
+        ("src/a.ts", "@me/core"): "packages/core/src/index.ts", ("src/a.ts", "core/x"): "packages/core/src/index.ts", ("src/a.ts", "@me"): None, ("src/lib.rs", "./net"): "src/net/mod.rs",
+        ("src/auth.rs", "crate::models::{User, Post}"): "src/models.rs", ("src/net/mod.rs", "super::auth::Token"): "src/auth.rs", ("src/net/tcp.rs", "super::super::x"): None,
+        ("src/auth.rs", "self::jwt::Claims"): "src/auth/jwt.rs", ("src/auth.rs", "serde::Serialize"): None, ("com/ex/Bar.java", "static com.ex.Foo.MAX"): "com/ex/Foo.java",
+        ("com/ex/Bar.java", "com.ex.*"): "com/ex/Bar.java", ("com/ex/Bar.java", "java.util.List"): None, ("main.go", "github.com/u/repo/pkg/utils"): "x/pkg/utils/a.go", ("main.go", "fmt"): None,
+    }
+    df = spark.createDataFrame([(*k, ["N"]) for k in want] + [("m.py", "gone", ["Foo", "Two"]), (None, "x", []), ("m.py", None, [])], "path string, spec string, names array<string>")
+    got = {(r.path, r.spec): r.target for r in imports.resolve_all(df, files).collect()}
+    assert got == {k: v for k, v in want.items() if v}
+    symbols_of = spark.createDataFrame([("com/ex/Foo.java", "Foo"), ("a", "Two"), ("b", "Two")], "path string, name string")
+    more = {tuple(r)[2:] for r in imports.resolve_all(df, files, symbols_of).filter("path = 'm.py'").collect()}
+    assert more == {("com/ex/Foo.java", "medium"), ("a", "low"), ("b", "low")}
+
+
+def test_symbols_of_each_language(spark):
+    made = {
+        "a.rs": 'pub struct User {\n    id: u64,\n}\nimpl Display for User {\n    pub fn show(&self) {}\n    pub(crate) async fn hide() {}\n}\npub trait Named {}\nfn main() {}\npub const MAX: u8 = 1;\ntype Id = u64;',
+        "a.go": "package a\ntype User struct {\n\tID int\n}\ntype namer interface {\n}\nfunc (u *User) Show() {}\nfunc hide() {}\nvar X = 1\ntype ID int",
+        "A.java": "public class A {\n    private static final int MAX = 1;\n    public A(int x) {\n    }\n    public List<String> names(int n) {\n        return make(n);\n    }\n    enum E { X }\n}\n@interface Note {}",
+        "a.ts": "export class T {}", "b.py": "def (", "c.json": '{"k": 1}', "d.txt": "class X {}", "e.rs": None,
+    }
+    df = spark.createDataFrame(list(made.items()), "path string, content string")
+    got = {(r.path, r.kind, r["name"], r.exported) for r in symbols.all_symbols(df).collect()}
+    assert got == {
+        ("a.rs", "class", "User", True), ("a.rs", "class", "User", False), ("a.rs", "method", "show", True), ("a.rs", "method", "hide", False), ("a.rs", "interface", "Named", True),
+        ("a.rs", "function", "main", False), ("a.rs", "variable", "MAX", True), ("a.rs", "type", "Id", False), ("a.go", "class", "User", True), ("a.go", "interface", "namer", False),
+        ("a.go", "function", "Show", True), ("a.go", "function", "hide", False), ("a.go", "variable", "X", True), ("a.go", "type", "ID", True), ("A.java", "class", "A", True),
+        ("A.java", "variable", "MAX", False), ("A.java", "function", "A", True), ("A.java", "method", "names", True), ("A.java", "class", "E", False), ("A.java", "interface", "Note", False),
+        ("a.ts", "class", "T", True), ("b.py", "partial", "SyntaxError", False), ("c.json", "variable", "k", True),
+    }
+
+
+def test_walk_contents_and_manifests(spark, tmp_path):
+    for name, data in {
+        "pkg/__init__.py": b"X = 1", ".github/ci.yml": b"on: x", ".git/config": b"no", "package.json": b'{"name": "r", "dependencies": {"a": "1"}}', "a/b/c/package.json": b'{"name": "deep"}',
+        "bad.txt": b"\xff\xfe", "pyproject.toml": b'[project.scripts]\nrun = "m.cli:main"\n[project.gui-scripts]\nwin = "m.gui"\n',
+    }.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "link").symlink_to(tmp_path / "bad.txt")
+    found = sources.walk(spark, str(tmp_path))
+    assert {r.path: r.size for r in found.collect()} == {"pkg/__init__.py": 5, ".github/ci.yml": 5, "package.json": 41, "a/b/c/package.json": 16, "bad.txt": 2, "pyproject.toml": 73}
+    read = sources.contents(found)
+    got = {r.path: (r.content, r.reason) for r in read.collect()}
+    assert got["pkg/__init__.py"] == ("X = 1", None) and got["bad.txt"] == (None, "UnicodeDecodeError")
+    assert rows(sources.package_manifests(read)) == [("package.json", "r", ["a"], None)]
+    assert rows(sources.project_scripts(read)) == [("pyproject.toml", "run", "m.cli", "main"), ("pyproject.toml", "win", "m.gui", None)]
+
+
+def test_commits(spark, tmp_path):
+    git = ["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@example.com"]
+    assert sources.commits(spark, str(tmp_path), 5).count() == 0
+    subprocess.run([*git, "init", "-q"], check=True)
+    for k, names in enumerate((["a", "b c"], ["a"], ["d"])):
+        for name in names:
+            (tmp_path / name).write_text(str(k))
+        subprocess.run([*git, "add", "."], check=True)
+        subprocess.run([*git, "commit", "-qm", "x"], check=True)
+    got = sources.commits(spark, str(tmp_path), 2).collect()
+    assert [r.path for r in got] == ["d", "a"] and len({r.commit for r in got}) == 2 and sources.commits(spark, str(tmp_path), -1).count() == 0
+    assert {r.path for r in sources.commits(spark, str(tmp_path), 99_999).collect()} == {"a", "b c", "d"}
