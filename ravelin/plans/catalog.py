@@ -107,9 +107,24 @@ walk AS (SELECT CAST(7 AS BIGINT) AS node, 0 AS distance UNION SELECT b.dst, w.d
 hit AS (SELECT node, CAST(min(distance) AS INTEGER) AS distance FROM walk GROUP BY node)"""
 
 
-def _blast(spark, d) -> DataFrame:
+BLAST_DEPTH, TRACE_DEPTH = 5, 10  # the reference's defaults
+
+
+def _blast(spark, d, depth=2) -> DataFrame:
     edges = t.import_edges(spark, d)
-    return graph.reach(graph.both_ways(edges), spark.range(7, 8).withColumnRenamed("id", "node"), 2).select("node", F.col("depth").alias("distance"))
+    return graph.reach(graph.both_ways(edges), spark.range(7, 8).withColumnRenamed("id", "node"), depth).select("node", F.col("depth").alias("distance"))
+
+
+def _risky(spark, d, depth=2) -> DataFrame:
+    near = _blast(spark, d, depth).filter(F.col("distance") < depth).select("node")
+    e = t.import_edges(spark, d).filter("uncertain").select("src", "dst")
+    return e.join(near, e["src"] == near["node"], "left_semi").union(e.join(near, e["dst"] == near["node"], "left_semi")).distinct()
+
+
+def _trace(spark, d, depth=4) -> DataFrame:
+    edges = graph.both_ways(t.import_edges(spark, d))
+    hit = graph.reach(edges, spark.range(7, 8).withColumnRenamed("id", "node"), depth)
+    return hit.agg(F.count("*").alias("reached"), F.max("depth").alias("farthest"), F.sum("depth").alias("total"))
 
 
 @query("blast_radius", BLAST + " SELECT node, distance FROM hit")
@@ -121,17 +136,31 @@ def blast_radius(spark, d):
 @query("risky_edges", BLAST + " SELECT DISTINCT i.src, i.dst FROM imports i WHERE i.uncertain AND (i.src IN (SELECT node FROM hit WHERE distance < 2) OR i.dst IN (SELECT node FROM hit WHERE distance < 2))")
 def risky_edges(spark, d):
     """Uncertain edges that the search scans."""
-    near = _blast(spark, d).filter("distance < 2").select("node")
-    e = t.import_edges(spark, d).filter("uncertain").select("src", "dst")
-    return e.join(near, e["src"] == near["node"], "left_semi").union(e.join(near, e["dst"] == near["node"], "left_semi")).distinct()
+    return _risky(spark, d)
 
 
 @query("trace_shortest_path_len", BLAST.replace("w.distance < 2", "w.distance < 4") + " SELECT count(*) AS reached, CAST(max(distance) AS INTEGER) AS farthest, CAST(sum(distance) AS BIGINT) AS total FROM hit")
 def trace_len(spark, d):
     """Lengths of the shortest paths from one start."""
-    edges = graph.both_ways(t.import_edges(spark, d))
-    hit = graph.reach(edges, spark.range(7, 8).withColumnRenamed("id", "node"), 4)
-    return hit.agg(F.count("*").alias("reached"), F.max("depth").alias("farthest"), F.sum("depth").alias("total"))
+    return _trace(spark, d)
+
+
+@whole("blast_radius_full")
+def blast_radius_full(spark, d):
+    """To the reference's depth."""
+    return _blast(spark, d, BLAST_DEPTH)
+
+
+@whole("risky_edges_full")
+def risky_edges_full(spark, d):
+    """To the reference's depth."""
+    return _risky(spark, d, BLAST_DEPTH)
+
+
+@whole("trace_shortest_path_len_full")
+def trace_len_full(spark, d):
+    """To the reference's depth."""
+    return _trace(spark, d, TRACE_DEPTH)
 
 
 @query("import_fan_metrics", f"""WITH {IMPORTS} SELECT coalesce(a.node, b.node) AS node, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out

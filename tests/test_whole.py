@@ -37,3 +37,15 @@ def test_cycles_and_closure_take_all_imports(spark, imports):
     assert dict(catalog.whole_queries()["import_cycles_all"](spark, d).collect()) == want
     got = {r.node for r in catalog.whole_queries()["import_transitive_closure_all"](spark, d).collect()}
     assert got == set(below(edges, [a for a, _ in edges if a < 200])) and {300, 316} <= got
+
+
+def test_searches_go_to_the_reference_depths(spark, imports):
+    d, edges = imports
+    both = set(edges) | {(b, a) for a, b in edges}
+    want = below(both, [7], 5)
+    assert dict(catalog.whole_queries()["blast_radius_full"](spark, d).collect()) == want and max(want.values()) == 5
+    near = {v for v, k in want.items() if k < 5}
+    risky = {tuple(r) for r in catalog.whole_queries()["risky_edges_full"](spark, d).collect()}
+    assert risky == {e for e, unc in edges.items() if unc and near & set(e)}
+    far = below(both, [7], 10)
+    assert [tuple(r) for r in catalog.whole_queries()["trace_shortest_path_len_full"](spark, d).collect()] == [(len(far), 10, sum(far.values()))]
