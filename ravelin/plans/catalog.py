@@ -365,6 +365,13 @@ def list_claims(spark, d):
     return top.select("claim_id", "band", F.row_number().over(Window.orderBy(F.desc("band_no"), "claim_id")).cast("long").alias("pos"))
 
 
+@whole("list_claims_ranked_all")
+def list_claims_all(spark, d):
+    """All by band, then id."""
+    rank = F.row_number().over(Window.orderBy(F.desc("band_no"), "claim_id")).cast("long")
+    return _claims(spark, d).filter("band_no >= 2 and status <> 'rejected'").select("claim_id", "band", rank.alias("pos"))
+
+
 @query("uncertainties", f"""WITH {FOLD} SELECT claim_id, 'missing_evidence' AS kind, 'high' AS severity FROM claims WHERE band = 'none' UNION ALL SELECT claim_id, 'low_confidence', 'medium' FROM claims WHERE band = 'low'
 UNION ALL SELECT claim_id, 'stale', 'medium' FROM claims WHERE freshness = 'stale' UNION ALL SELECT claim_id, 'contradicted', 'high' FROM claims WHERE status = 'contradicted'""")
 def uncertainties(spark, d):

@@ -49,3 +49,14 @@ def test_searches_go_to_the_reference_depths(spark, imports):
     assert risky == {e for e, unc in edges.items() if unc and near & set(e)}
     far = below(both, [7], 10)
     assert [tuple(r) for r in catalog.whole_queries()["trace_shortest_path_len_full"](spark, d).collect()] == [(len(far), 10, sum(far.values()))]
+
+
+def test_claims_are_all_ranked(spark, tmp_path):
+    # 200 users with a claim each and nine kinds of evidence
+    rows = [(u * 1000 + k, u) for u in range(200) for k in range(9)]
+    spark.createDataFrame(rows, "event_id long, user_id long").selectExpr("*", "timestamp'2024-01-01' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    d = str(tmp_path)
+    claims = catalog._claims(spark, d).filter("band_no >= 2 and status <> 'rejected'").select("band_no", "claim_id", "band").collect()
+    want = [(c, b, k) for k, (_, c, b) in enumerate(sorted((-n, c, b) for n, c, b in claims), 1)]
+    got = sorted((tuple(r) for r in catalog.whole_queries()["list_claims_ranked_all"](spark, d).collect()), key=lambda r: r[2])
+    assert got == want and len(got) > 50
