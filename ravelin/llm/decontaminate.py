@@ -3,16 +3,19 @@
 Texts are compared as lower-case words joined by one space. An item is in a
 document if some passage is within `max_edits` edits per character of it.
 
-1. Windows as long as an item start where a run of ANCHOR words of the document
-   is one of the item's: each gives the start that the item would have.
-2. The CGK random walk embeds window and item: at each step a random bit, chosen
-   by step and character, tells whether to move on in the text. Edits become
-   differences at few steps.
-3. Bit sampling: TABLES samples of BITS steps over WALKS walks. A window goes on
-   if one sample agrees with the item's. At a difference of half the steps that
-   misses fewer than 1 in 500.
-4. Verification: the exact edit distance of the item to the best passage around
-   the window, by Myers' bit-parallel algorithm.
+1. Seeds. Runs of GRAM characters of the document that are an item's give the
+   place where the item would start. An item is sought where, within two bands
+   of BAND places, runs of several different parts of it meet: FEW parts for an
+   item below LONG characters, else MANY.
+2. Short runs. A place goes on if at least SHARE of the item's runs of SHORT
+   characters, one in three taken, are near where they should be.
+3. Verification: the exact edit distance of the item to the best passage around
+   the place, by Myers' bit-parallel algorithm.
+
+Items below WHOLE characters have too few runs; each text is compared with them
+in full. Longer ones can be missed: one edit in every GRAM characters or fewer,
+evenly spread, leaves no seed. Edits at random places up to the limit leave some; the
+tests and the README have the share that is found.
 
 Items are broadcast in blocks of at most ITEMS items and CHARS characters; a
 larger benchmark takes several passes. Null and empty items or texts match
@@ -31,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import union_all
 
-ANCHOR, WALKS, TABLES, BITS = 3, 6, 48, 3
-WINDOWS = 4_096  # embedded at once
+GRAM, BAND, FEW, MANY, LONG = 8, 16, 2, 3, 120
+SHORT, SHARE, WHOLE = 5, 0.2, 64
+SLICE = 1_000_000  # characters whose seeds are sought at once
 ITEMS, CHARS = 5_000, 4_000_000
 _WORDS = re.compile(r"\w+")
 
@@ -68,148 +72,120 @@ def best_edits(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def embed(x: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """CGK walks of byte rows (0 after the end): one output byte a step. moves: (steps, 256) of 0 and 1."""
-    n, width = x.shape
-    flat = np.concatenate([x, np.zeros((n, 1), np.uint8)], 1).ravel()
-    at = np.arange(n) * (width + 1)
-    end = at + width
-    out = np.empty((len(moves), n), np.uint8)
-    for c, move in zip(out, moves, strict=True):
-        np.take(flat, at, out=c)
-        at += move.take(c)
-        np.minimum(at, end, out=at)
-    return out.T
+def letters(text: str) -> np.ndarray:
+    """One byte a character; those beyond Latin-1 are hashed."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(x < 256, x, x * np.uint32(2654435761) >> np.uint32(24)).astype(np.uint8)
+
+
+def grams(x: np.ndarray) -> np.ndarray:
+    """The GRAM = 8 bytes from each place on as one number."""
+    g = x.astype(np.uint64)
+    for step in (1, 2, 4):
+        g = g[:-step] | g[step:] << np.uint64(8 * step)
+    return g
+
+
+def _slot(g: np.ndarray) -> np.ndarray:
+    return (g * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
 
 
 class Items:
-    """A block of items with their anchors, walks and samples."""
+    """A block of items with the runs of characters that they hold."""
 
     def __init__(self, rows: list[tuple[int, str]], max_edits: float):
-        rng = np.random.default_rng(11)
         self.max_edits = max_edits
-        self.ids, self.words = [], []
-        for i, t in rows:
-            if words := normal_words(t):
-                self.ids.append(i)
-                self.words.append(words)
-        self.texts = [" ".join(w) for w in self.words]
-        self.vocab: dict[str, int] = {}
-        for ws in self.words:
-            for w in ws:
-                self.vocab.setdefault(w, len(self.vocab))
-        base = len(self.vocab) + 1
-        assert base**ANCHOR < 1 << 62
-        self.base, self.anchors = base, {}
-        for k, ws in enumerate(self.words):
-            ids = [self.vocab[w] + 1 for w in ws]
-            n = min(ANCHOR, len(ids))
-            for o in range(len(ids) - n + 1):
-                key = 0
-                for v in ids[o : o + n]:
-                    key = key * base + v
-                self.anchors.setdefault((n, key), []).append((k, o))
-        self.keys = {n: np.array(sorted(k for m, k in self.anchors if m == n), np.int64) for n in range(1, ANCHOR + 1)}
-        longest = max((len(t) for t in self.texts), default=1)
-        self.moves = rng.integers(0, 2, (WALKS, 3 * longest, 256)).astype(np.int64)
-        self.samples, self.marks, bags = [], [], []
-        for t in self.texts:
-            size = max(1, 2 * len(t))
-            at = rng.integers(0, size, (TABLES, BITS))
-            self.samples.append(at)
-            row = np.frombuffer(t.encode("latin-1", "replace"), np.uint8)
-            bags.append(np.bincount(row, minlength=256))
-            per, steps = TABLES // WALKS, int(at.max()) + 1
-            self.marks.append(np.concatenate([embed(row[None, :], self.moves[w][:steps])[0][at[w * per : (w + 1) * per]] for w in range(WALKS)]))
-        self.samples, self.marks, self.bags = np.array(self.samples), np.array(self.marks), np.array(bags, np.int32)
-
-    def starts(self, words: list[str]) -> dict[int, set[int]]:
-        """Per item the word positions where it would start."""
-        out: dict[int, set[int]] = {}
-        get = self.vocab.get
-        v = np.array([get(w, -1) for w in words], np.int64) + 1
-        for n, keys in self.keys.items():
-            if not len(keys) or len(v) < n:
-                continue
-            key, known = np.zeros(len(v) - n + 1, np.int64), np.ones(len(v) - n + 1, bool)
-            for j in range(n):
-                part = v[j : len(v) - n + 1 + j]
-                key = key * self.base + part
-                known &= part > 0
-            at = np.flatnonzero(known)
-            at = at[keys[np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)] == key[at]]
-            for p in at.tolist():
-                for k, o in self.anchors[n, int(key[p])]:
-                    out.setdefault(k, set()).add(p - o)
-        return out
-
-    def _alike(self, windows: list[tuple[int, bytes]]) -> np.ndarray:
-        """Which windows (item, text as bytes) agree with their item in at least one sample."""
-        size = np.array([len(self.texts[k]) for k, _ in windows])
-        order = np.argsort(size, kind="stable")
-        out, per = np.zeros(len(windows), bool), TABLES // WALKS
-        for lo in range(0, len(order), WINDOWS):
-            part = order[lo : lo + WINDOWS]
-            width = int(size[part].max())
-            x = np.zeros((len(part), width), np.uint8)
-            for r, w in enumerate(part.tolist()):
-                raw = windows[w][1]
-                x[r, : len(raw)] = np.frombuffer(raw, np.uint8)
-            k = np.array([windows[w][0] for w in part.tolist()])
-            # characters that have no partner need an edit each
-            bags = np.stack([np.bincount(row, minlength=256) for row in x]).astype(np.int32)
-            bags[:, 0] = 0
-            gap = np.maximum(bags - self.bags[k], 0).sum(1), np.maximum(self.bags[k] - bags, 0).sum(1)
-            fits = np.maximum(*gap) <= 2 * self.max_edits * size[part] + 4  # the window may be off by the edits before it
-            part, x, k = part[fits], x[fits], k[fits]
-            hit = np.zeros(len(part), bool)
-            for w in range(WALKS):
-                at = self.samples[k][:, w * per : (w + 1) * per].reshape(len(part), per * BITS)
-                if not len(part):
-                    break
-                walk = embed(x, self.moves[w][: int(at.max()) + 1])
-                same = np.take_along_axis(walk, at, 1).reshape(len(part), per, BITS) == self.marks[k, w * per : (w + 1) * per]
-                hit |= same.all(2).any(1)
-            out[part[hit]] = True
-        return out
+        known = [(i, " ".join(words)) for i, t in rows if (words := normal_words(t))]
+        self.ids, self.texts = [i for i, _ in known], [t for _, t in known]
+        self.short = [k for k, t in enumerate(self.texts) if len(t) < WHOLE]
+        long = [(k, grams(letters(t))) for k, t in enumerate(self.texts) if len(t) >= WHOLE]
+        code = np.concatenate([g for _, g in long]) if long else np.empty(0, np.uint64)
+        item = np.repeat(np.array([k for k, _ in long], np.int64), [len(g) for _, g in long])
+        place = np.concatenate([np.arange(len(g)) for _, g in long]) if long else np.empty(0, np.int64)
+        order = np.argsort(code, kind="stable")
+        self.item, self.place = item[order], place[order]
+        self.codes, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
+        self.known = np.zeros(1 << 22, bool)
+        self.known[_slot(self.codes)] = True
+        self.need = np.array([FEW if len(t) < LONG else MANY for t in self.texts], np.int64)
+        self.longest = max(map(len, self.texts), default=0)
+
+    def places(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
+        """(text, item, from, to): places where items may start."""
+        if not len(self.codes):
+            return []
+        gap = self.longest + 4 * BAND
+        starts = np.cumsum([0, *(len(t) + gap for t in texts)])  # texts one after the other, an item apart
+        at, code = [], []
+        for t, start in zip(texts, starts.tolist(), strict=False):
+            for lo in range(0, max(0, len(t) - GRAM + 1), SLICE):
+                g = grams(letters(t[lo : lo + SLICE + GRAM - 1]))
+                p = np.flatnonzero(self.known[_slot(g)])
+                at.append(p + (start + lo))
+                code.append(g[p])
+        if not at:
+            return []
+        at, code = np.concatenate(at), np.concatenate(code)
+        row = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        same = self.codes[row] == code
+        at, row = at[same], row[same]
+        n = self.count[row]
+        which = np.repeat(self.first[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item, place = self.item[which], self.place[which]
+        bands, parts = (int(starts[-1]) + 2 * gap) // BAND + 2, self.longest // GRAM + 1
+        band = item * bands + (np.repeat(at, n) - place + gap) // BAND
+        key, met = np.unique(np.unique(band * parts + place // GRAM) // parts, return_counts=True)
+        if not len(key):
+            return []
+        met = met + np.where(np.r_[np.diff(key) == 1, False], np.r_[met[1:], 0], 0)
+        key = key[met >= self.need[key // bands]]
+        if not len(key):
+            return []
+        cut = np.flatnonzero(np.diff(key) != 1) + 1
+        low, high = key[np.r_[0, cut]], key[np.r_[cut - 1, len(key) - 1]]
+        lo, hi = low % bands * BAND - gap, (high % bands + 2) * BAND - gap
+        text = np.clip(np.searchsorted(starts, lo + gap // 2, "right") - 1, 0, len(texts) - 1)
+        return list(zip(text.tolist(), (low // bands).tolist(), (lo - starts[text]).tolist(), (hi - starts[text]).tolist(), strict=True))
+
+    def _near(self, item: str, text: str, lo: int, hi: int) -> bool:
+        offsets = range(0, len(item) - SHORT + 1, 3)
+        need = SHARE * len(offsets)
+        for o in offsets:
+            if item[o : o + SHORT] in text[max(0, lo + o - BAND) : max(0, hi + o + BAND + SHORT)]:
+                need -= 1
+                if need <= 0:
+                    return True
+        return False
+
+    def _best(self, item: str, text: str, lo: int, hi: int, limit: int) -> tuple[int, int] | None:
+        """(edits, start) of the best passage of text[lo:hi], if within the limit."""
+        edits, end = best_edits(item, text[lo:hi])
+        if edits > limit:
+            return None
+        _, size = best_edits(item[::-1], text[lo : lo + end][::-1])
+        return edits, lo + end - size
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
-        """Per text (item_id, first word of the window, edits, similarity): the best passage per item within the limit."""
-        docs = [normal_words(t) for t in texts]
-        windows: dict[tuple[int, bytes], int] = {}
-        wanted: list[list[tuple[int, list[tuple[int, int]]]]] = []
-        for words in docs:
-            mine = []
-            for k, starts in sorted(self.starts(words).items()):
-                m, size, slack = len(self.words[k]), len(self.texts[k]), len(self.words[k]) // 5 + 3
-                places = []
-                for s in sorted({max(0, s) for s in starts}):
-                    raw = " ".join(words[s : s + m + slack])[:size].encode("latin-1", "replace")
-                    places.append((s, windows.setdefault((k, raw), len(windows))))
-                mine.append((k, places))
-            wanted.append(mine)
-        alike = self._alike([*windows]) if windows else np.empty(0, bool)
-        out = []
-        for words, mine in zip(docs, wanted, strict=True):
-            hits = []
-            for k, places in mine:
-                m, item = len(self.words[k]), self.texts[k]
-                limit, slack = int(self.max_edits * len(item)), m // 5 + 3
-                best, seen, tried = None, -1, set()
-                for s, w in places:
-                    if not alike[w] or w in tried or s < seen:  # verified with the region around an earlier start
-                        continue
-                    tried.add(w)
-                    edits, _ = best_edits(item, " ".join(words[max(0, s - slack) : s + m + slack]))
-                    seen = s + max(1, slack - 3)
-                    if edits <= limit and (best is None or edits < best[1]):
-                        best = (s, edits)
-                        if not edits:
-                            break
-                if best:
-                    hits.append((self.ids[k], best[0], best[1], 1 - best[1] / len(item)))
-            out.append(hits)
-        return out
+        """Per text (item_id, first word, edits, similarity): the best passage per item within the limit."""
+        docs = [" ".join(normal_words(t)) for t in texts]
+        best: list[dict[int, tuple[int, int]]] = [{} for _ in docs]
+        first, size = 0, 0
+        todo = []
+        for d, t in enumerate(docs):
+            size += len(t)
+            if size >= SLICE or d == len(docs) - 1:
+                todo += [(first + x, *place) for x, *place in self.places(docs[first : d + 1])]
+                first, size = d + 1, 0
+        todo += [(d, k, 0, len(t)) for d, t in enumerate(docs) if t for k in self.short]
+        for d, k, lo, hi in todo:
+            item, text = self.texts[k], docs[d]
+            limit = int(self.max_edits * len(item))
+            if len(item) >= WHOLE and not self._near(item, text, lo, hi):
+                continue
+            got = self._best(item, text, max(0, lo - BAND), hi + BAND + len(item) + limit, limit)
+            if got and (k not in best[d] or got < best[d][k]):
+                best[d][k] = got
+        return [[(self.ids[k], text.count(" ", 0, start), edits, 1 - edits / len(self.texts[k])) for k, (edits, start) in sorted(b.items())] for text, b in zip(docs, best, strict=True)]
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, item_text: str):
