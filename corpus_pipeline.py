@@ -33,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id."""
-    found = ngram_join.join_components(docs, k=SHINGLE, num=LIKENESS[0], den=LIKENESS[1])
+    found = ngram_join.join_components(docs, k=SHINGLE, num=LIKENESS[0], den=LIKENESS[1], count=False)
     first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(first, docs["doc_id"] == first["__id"]).drop("__id").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null"))

@@ -20,6 +20,9 @@ text is one run). Two documents link when |a & b| / |a | b| reaches a threshold.
    that the bound allows; these are verified too. After it no pair that could
    link two components is left.
 
+5. Links. All links are inside components. Two classes in one have one link; of
+   more, every pair is compared on its texts, block against block, and counted.
+
 A key with more than BLOCK members is dealt into blocks: in the first traversal
 each block with the group's smallest id, in the second every pair of blocks that
 holds different components.
@@ -42,6 +45,8 @@ ROUTES = 16
 BITS = 2048
 BLOCK = 1024
 LEAF = 8
+WORDS = 4_000_000  # shingles of a block of a component, on average at most
+COLUMNS = 2048
 
 
 def shingles(hasher: TextHasher, text: str | None, k: int) -> np.ndarray:
@@ -213,11 +218,75 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
-def join_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def count_links(x: list[np.ndarray], y: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each set of x and of each of y between the two; y None: among x, each pair counted at both ends."""
+    sets = x if y is None else x + y
+    n, a = np.array([len(s) for s in sets]), len(x)
+    row = np.repeat(np.arange(len(sets)), n)
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    keep = shared[col]
+    row, col = row[keep], (np.cumsum(shared) - 1)[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    common = np.zeros((a, a if y is None else len(y)), np.int64)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        at = slice(*np.searchsorted(col, [lo, lo + COLUMNS]))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[row[at], col[at] - lo] = 1
+        common += (m[:a] @ (m if y is None else m[a:]).T).astype(np.int64)
+    linked = (common > 0) & (den * common >= num * (n[:a, None] + (n if y is None else n[a:])[None, :] - common))
+    if y is None:
+        np.fill_diagonal(linked, False)
+    return linked.sum(1), linked.sum(0)
+
+
+def _degrees(scratch: Scratch, comp: DataFrame, reps: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, n_links): the classes that each class in a component links with."""
+    rows = comp.join(reps.select(F.col("doc_id").alias("node"), "n"), "node")
+    sized = scratch.keep(rows.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("words")))
+    pairs = comp.join(sized.filter("c = 2"), "component").select("node", F.lit(1).cast("long").alias("n_links"))
+    m = F.least("c", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("words") / WORDS))).cast("long")
+    larger = comp.join(sized.filter("c > 2").select("component", m.alias("m")), "component")
+    larger = larger.join(texts.select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]), "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")))
+    blocks = larger.select("component", "node", "text", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("j"))
+    blocks = blocks.select("component", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "node", "i", "text")
+    parts = blocks.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
+
+    def run(batches):
+        def done(key, buf):
+            _, x, y = key
+            ours, theirs = [b for b in buf if b[1] == x], [b for b in buf if b[1] == y]
+            if x == y:
+                return [(b[0], int(d)) for b, d in zip(ours, count_links([b[2] for b in ours], None, num, den)[0], strict=True)]
+            if not ours or not theirs:
+                return []
+            one, two = count_links([b[2] for b in ours], [b[2] for b in theirs], num, den)
+            return [(b[0], int(d)) for b, d in zip(ours + theirs, [*one, *two], strict=True)]
+
+        hasher, last, buf = TextHasher(fold=True), None, []
+        for batch in batches:
+            out = []
+            for g, x, y, node, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last is not None and last != (g, x, y):
+                    out += done(last, buf)
+                    buf = []
+                last = (g, x, y)
+                buf.append((node, i, shingles(hasher, text, k)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["node", "n_links"])
+        if buf and (out := done(last, buf)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["node", "n_links"])
+
+    counted = parts.mapInArrow(run, "node long, n_links long")
+    return pairs.unionByName(counted).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def join_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", count: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) per row; links where |a & b| / |a | b| >= num / den.
 
-    n_links counts the verified links between classes that the join used; every
-    link between components is among them.
+    n_links is the number of other classes, of texts with a different set, that the
+    row's class links with; equal sets add none. Without `count` there is no n_links.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -255,13 +324,10 @@ def join_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str = "
     links2 = scratch.keep(_verify(pairs2, texts, k, num, den))
     links = links.unionByName(links2)
     comp = components(scratch, links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = comp.join(degree, "node", "left")
-    out = member.join(known, member["rep"] == known["node"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "rep", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-    )
+    known, columns = comp, ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")]
+    if count:
+        known = comp.join(scratch.keep(_degrees(scratch, comp, reps, texts, k, num, den)), "node", "left")
+        columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    out = member.join(known, member["rep"] == known["node"], "left").select(*columns)
     scratch.drop(shared, texts, pairs, pairs2)
     return out

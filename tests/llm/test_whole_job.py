@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from ravelin.llm import decontaminate
+from ravelin.llm import decontaminate, ngram_join
 
 
 def vocabulary(n, seed=1):
@@ -44,3 +44,22 @@ def test_items_are_found_up_to_the_limit(rate):
 def test_short_items_and_places():
     items = decontaminate.Items([(1, "a short item"), (2, "x")], 0.2)
     assert items.find(["well, a shirt item", "none of it", None, ""]) == [[(1, 1, 1, 1 - 1 / 12)], [], [], []]
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_links_are_all_counted(spark, monkeypatch, block):
+    """Groups of near copies: each member has a link with each other it is alike to."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    r, v, texts = random.Random(8), vocabulary(300), []
+    for size in (1, 2, 9, 14):
+        base = [r.choice(v) for _ in range(130)]
+        for _ in range(size):
+            w = list(base)
+            w[r.randrange(130)] = r.choice(v)
+            texts.append(" ".join(w))
+    texts += [texts[5], texts[5].upper(), "", "alone"]
+    sets = [{tuple(w[p : p + 4]) for p in range(max(1, len(w) - 3))} if (w := t.lower().split()) else set() for t in texts]
+    distinct = {frozenset(s) for s in sets if s}
+    want = {i: sum(s != o and 100 * len(s & o) >= 85 * len(s | o) for o in distinct) if s else 0 for i, s in enumerate(sets)}
+    got = {x.doc_id: x.n_links for x in ngram_join.join_components(documents(spark, [*enumerate(texts), (90, None)]), 4, 85, 100).collect()}
+    assert got == want | {90: 0} and max(want.values()) > 5
