@@ -206,12 +206,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", te
                     else:
                         _, cand = _candidates(hasher, words, seeds, window, k)
                         passages.append(_runs(np.setdiff1d(cand, np.asarray(first or [], np.int64), assume_unique=True)))
-                streamed = [[] if copy else words for words, copy in zip(shard, copies_[lo:hi], strict=True)]
+                ids = batch.column("doc_id").slice(lo, hi - lo).to_pylist()
+                streamed = [[] if copy or i is None else words for words, copy, i in zip(shard, copies_[lo:hi], ids, strict=True)]
                 masks = locate(streamed, passages, firsts_[lo:hi], window)
                 n_words, n_removed, kept, starts, ends, sizes = [], [], [], [], [], []
-                for words, mask, copy in zip(shard, masks, copies_[lo:hi], strict=True):
-                    if copy:
-                        mask = np.full(len(words), len(words) >= window)
+                for words, mask, copy, i in zip(shard, masks, copies_[lo:hi], ids, strict=True):
+                    if copy or i is None:
+                        mask = np.full(len(words), bool(copy) and len(words) >= window)
                     n_words.append(len(words))
                     n_removed.append(int(mask.sum()))
                     kept.append(b" ".join([w for w, m in zip(words, mask.tolist(), strict=True) if not m] if n_removed[-1] else words))

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from ravelin.llm import decontaminate, ngram_join
+from ravelin.llm import decontaminate, ngram_join, substring_dedup
 
 
 def vocabulary(n, seed=1):
@@ -63,3 +63,11 @@ def test_links_are_all_counted(spark, monkeypatch, block):
     want = {i: sum(s != o and 100 * len(s & o) >= 85 * len(s | o) for o in distinct) if s else 0 for i, s in enumerate(sets)}
     got = {x.doc_id: x.n_links for x in ngram_join.join_components(documents(spark, [*enumerate(texts), (90, None)]), 4, 85, 100).collect()}
     assert got == want | {90: 0} and max(want.values()) > 5
+
+
+def test_rows_without_an_id_keep_their_words(spark):
+    r, v = random.Random(2), vocabulary(300)
+    passage = " ".join(r.choice(v) for _ in range(30))
+    texts = [(1, f"one {passage} here"), (2, f"two {passage} there"), (None, f"three {passage} gone")]
+    got = {x.doc_id: x for x in substring_dedup.remove_repeats(documents(spark, texts).coalesce(1), 20).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[None].n_removed) == (0, 30, 0) and got[None].kept == texts[2][1]
