@@ -58,10 +58,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids) of each document; ids is an array of int."""
+    """(doc_id, lang, source, n_tokens, ids, decoded_sha256) of each document; ids is an array of int, the digest that of the text they decode to."""
     keep = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
-    out = bpe.encode_decode(docs, tokenizer_file("byte_bpe_50k.json"), keep=keep, decoded=None, as_list=True)
-    return out.select(*keep, F.size("ids").cast("long").alias("n_tokens"), "ids")
+    out = bpe.encode_decode(docs, tokenizer_file("byte_bpe_50k.json"), keep=keep, as_list=True)
+    return out.select(*keep, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

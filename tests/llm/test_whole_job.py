@@ -1,5 +1,6 @@
 """Parts of the job that earlier versions left out."""
 
+import hashlib
 import random
 
 import pytest
@@ -71,3 +72,12 @@ def test_rows_without_an_id_keep_their_words(spark):
     texts = [(1, f"one {passage} here"), (2, f"two {passage} there"), (None, f"three {passage} gone")]
     got = {x.doc_id: x for x in substring_dedup.remove_repeats(documents(spark, texts).coalesce(1), 20).collect()}
     assert (got[1].n_removed, got[2].n_removed, got[None].n_removed) == (0, 30, 0) and got[None].kept == texts[2][1]
+
+
+def test_the_pipeline_decodes_what_it_encodes(spark):
+    import corpus_pipeline
+
+    texts = {1: "Plain words, twice: words.", 2: "ñandú 日本語\n\n x", 3: ""}
+    got = {x.doc_id: x for x in corpus_pipeline.encode(spark, documents(spark, list(texts.items())), "").collect()}
+    assert {i: x.decoded_sha256 for i, x in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+    assert all(len(x.ids) == x.n_tokens for x in got.values())
