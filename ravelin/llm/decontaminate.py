@@ -3,24 +3,36 @@
 Texts are compared as lower-case words joined by one space. An item is in a
 document if some passage is within `max_edits` edits per character of it.
 
-1. Seeds. Runs of GRAM characters of the document that are an item's give the
-   place where the item would start. An item is sought where, within two bands
-   of BAND places, runs of several different parts of it meet: FEW parts for an
-   item below LONG characters, else MANY.
-2. Short runs. A place goes on if at least SHARE of the item's runs of SHORT
+1. Embedding. A CGK random walk reads the text from a place on: at each of STEPS
+   steps it writes the character it stands at and goes on or stays, as a random bit
+   for this step and character says. Texts at a small edit distance walk alike
+   and give strings at a small Hamming distance. Every character starts a walk, so
+   a window of an item's size is embedded in pieces, one from each of its places:
+   after an edit the pieces beyond it agree again, where one long walk would
+   stay apart. Each character's bits hold as many ones as zeros, in random order.
+2. Bit sampling. Of a walk's STEPS places KEPT, drawn at random, make its code.
+   Each place of an item is a table of its own, repeated for WALKS independent
+   walks; a window of the document falls into a table's bucket with the item if
+   their codes there agree. Windows that start in the same two bands of BAND places
+   are one candidate, kept if buckets of several parts of the item agree:
+   FEW parts for an item below LONG characters, else MANY (and a hundredth of the
+   parts of a very long one).
+3. Short runs. A candidate goes on if at least SHARE of the item's runs of SHORT
    characters, one in three taken, are near where they should be.
-3. Verification: the exact edit distance of the item to the best passage around
+4. Verification: the exact edit distance of the item to the best passage around
    the place, by Myers' bit-parallel algorithm.
 
-Items below WHOLE characters have too few runs; each text is compared with them
-in full. Longer ones can be missed: one edit in every GRAM characters or fewer,
-evenly spread, leaves no seed. Edits at random places up to the limit leave some; the
+Items below WHOLE characters have too few places; each text is compared with them
+in full. Longer ones can be missed with edits close to the limit, evenly spread; the
 tests and the README have the share that is found.
 
 Items are broadcast in blocks of at most ITEMS items and CHARS characters; a
-larger benchmark takes several passes. Null and empty items or texts match
-nothing. Rows that share a doc_id are one document; rows without one stay out.
-An empty table gives an empty table.
+larger benchmark takes several passes. Tables grow with the characters of a
+block, so an item may be long. Null and empty items or texts match nothing. Rows
+that share a doc_id are one document; rows without one stay out. Repeated items
+each have their row. An empty table or benchmark gives an empty table
+(`drop_contaminated`: all documents). Columns of documents stay as they are, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -32,12 +44,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import union_all
+from .common import mix, union_all
 
-GRAM, BAND, FEW, MANY, LONG = 8, 16, 2, 3, 120
+STEPS, KEPT, WALKS = 20, 16, 1
+PART, BAND, FEW, MANY, LONG = 8, 16, 2, 3, 120
 SHORT, SHARE, WHOLE = 5, 0.2, 64
-SLICE = 1_000_000  # characters whose seeds are sought at once
+SLICE = 1_000_000  # characters that are embedded at once
 ITEMS, CHARS = 5_000, 4_000_000
+PAIRS = 2_000_000  # pairs of places that are counted at once
 _WORDS = re.compile(r"\w+")
 
 
@@ -78,12 +92,34 @@ def letters(text: str) -> np.ndarray:
     return np.where(x < 256, x, x * np.uint32(2654435761) >> np.uint32(24)).astype(np.uint8)
 
 
-def grams(x: np.ndarray) -> np.ndarray:
-    """The GRAM = 8 bytes from each place on as one number."""
-    g = x.astype(np.uint64)
-    for step in (1, 2, 4):
-        g = g[:-step] | g[step:] << np.uint64(8 * step)
-    return g
+def draw(walk: int) -> tuple[np.ndarray, np.ndarray]:
+    """A walk's bits by step and character, and the steps that are sampled."""
+    rng = np.random.default_rng(walk + 1)
+    bits = rng.permuted(np.tile((np.arange(STEPS) < STEPS // 2).astype(np.int64)[:, None], (1, 256)), axis=0)
+    return bits, np.isin(np.arange(STEPS), rng.choice(STEPS, KEPT, replace=False))
+
+
+_DRAWS = [draw(w) for w in range(WALKS)]
+
+
+def codes(x: np.ndarray, walk: int) -> np.ndarray:
+    """The sampled embedding of the text from each place on, but for the last PART - 1, as one number."""
+    bits, kept = _DRAWS[walk]
+    out = np.full(max(0, len(x) - PART + 1), mix(np.array([walk]))[0], np.uint64)
+    padded, factor = np.concatenate([x, np.zeros(STEPS, np.uint8)]), np.uint64(0x9E3779B97F4A7C15)
+    for lo in range(0, len(out), 8192):  # blocks that stay in the cache
+        code = out[lo : lo + 8192]
+        view, at = padded[lo : lo + len(code) + STEPS], np.arange(len(code))
+        here, go = np.empty(len(code), np.uint8), np.empty(len(code), np.int64)
+        for step in range(STEPS):
+            np.take(view, at, out=here, mode="clip")
+            if kept[step]:
+                code *= factor
+                code += here
+            np.take(bits[step], here, out=go, mode="clip")
+            at += go
+        code ^= code >> np.uint64(29)
+    return out
 
 
 def _slot(g: np.ndarray) -> np.ndarray:
@@ -91,23 +127,24 @@ def _slot(g: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of items with the runs of characters that they hold."""
+    """A block of items with the tables of their sampled embeddings."""
 
     def __init__(self, rows: list[tuple[int, str]], max_edits: float):
         self.max_edits = max_edits
         known = [(i, " ".join(words)) for i, t in rows if (words := normal_words(t))]
         self.ids, self.texts = [i for i, _ in known], [t for _, t in known]
         self.short = [k for k, t in enumerate(self.texts) if len(t) < WHOLE]
-        long = [(k, grams(letters(t))) for k, t in enumerate(self.texts) if len(t) >= WHOLE]
-        code = np.concatenate([g for _, g in long]) if long else np.empty(0, np.uint64)
-        item = np.repeat(np.array([k for k, _ in long], np.int64), [len(g) for _, g in long])
-        place = np.concatenate([np.arange(len(g)) for _, g in long]) if long else np.empty(0, np.int64)
+        long = [(k, w, letters(t)) for k, t in enumerate(self.texts) if len(t) >= WHOLE for w in range(WALKS)]
+        made = [codes(x, w) for _, w, x in long]
+        code = np.concatenate(made) if made else np.empty(0, np.uint64)
+        item = np.repeat(np.array([k for k, *_ in long], np.int64), [len(g) for g in made])
+        place = np.concatenate([np.arange(len(g)) for g in made]) if made else np.empty(0, np.int64)
         order = np.argsort(code, kind="stable")
         self.item, self.place = item[order], place[order]
         self.codes, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
         self.known = np.zeros(1 << 22, bool)
         self.known[_slot(self.codes)] = True
-        self.need = np.array([FEW if len(t) < LONG else MANY for t in self.texts], np.int64)
+        self.need = np.array([FEW if len(t) < LONG else max(MANY, len(t) // PART // 100) for t in self.texts], np.int64)
         self.longest = max(map(len, self.texts), default=0)
 
     def places(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
@@ -118,11 +155,13 @@ class Items:
         starts = np.cumsum([0, *(len(t) + gap for t in texts)])  # texts one after the other, an item apart
         at, code = [], []
         for t, start in zip(texts, starts.tolist(), strict=False):
-            for lo in range(0, max(0, len(t) - GRAM + 1), SLICE):
-                g = grams(letters(t[lo : lo + SLICE + GRAM - 1]))
-                p = np.flatnonzero(self.known[_slot(g)])
-                at.append(p + (start + lo))
-                code.append(g[p])
+            for lo in range(0, max(0, len(t) - PART + 1), SLICE):
+                x = letters(t[lo : lo + SLICE + STEPS])
+                for walk in range(WALKS):
+                    g = codes(x, walk)[:SLICE]
+                    p = np.flatnonzero(self.known[_slot(g)])
+                    at.append(p + (start + lo))
+                    code.append(g[p])
         if not at:
             return []
         at, code = np.concatenate(at), np.concatenate(code)
@@ -130,11 +169,18 @@ class Items:
         same = self.codes[row] == code
         at, row = at[same], row[same]
         n = self.count[row]
-        which = np.repeat(self.first[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item, place = self.item[which], self.place[which]
-        bands, parts = (int(starts[-1]) + 2 * gap) // BAND + 2, self.longest // GRAM + 1
-        band = item * bands + (np.repeat(at, n) - place + gap) // BAND
-        key, met = np.unique(np.unique(band * parts + place // GRAM) // parts, return_counts=True)
+        bands, parts = (int(starts[-1]) + 2 * gap) // BAND + 2, self.longest // PART + 1
+        total, seen = np.cumsum(n), []
+        for lo in range(0, int(total[-1]) + 1 if len(total) else 0, PAIRS):  # runs that an item repeats make many pairs
+            a, b = np.searchsorted(total, [lo, lo + PAIRS], "left")
+            m = n[a:b]
+            which = np.repeat(self.first[row[a:b]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            item, place = self.item[which], self.place[which]
+            band = item * bands + (np.repeat(at[a:b], m) - place + gap) // BAND
+            seen.append(np.unique(band * parts + place // PART))
+        if not seen:
+            return []
+        key, met = np.unique(np.unique(np.concatenate(seen)) // parts, return_counts=True)
         if not len(key):
             return []
         met = met + np.where(np.r_[np.diff(key) == 1, False], np.r_[met[1:], 0], 0)
