@@ -112,11 +112,11 @@ def codes(x: np.ndarray, walk: int) -> np.ndarray:
         view, at = padded[lo : lo + len(code) + STEPS], np.arange(len(code))
         here, go = np.empty(len(code), np.uint8), np.empty(len(code), np.int64)
         for step in range(STEPS):
-            np.take(view, at, out=here, mode="clip")
+            view.take(at, out=here, mode="clip")
             if kept[step]:
                 code *= factor
                 code += here
-            np.take(bits[step], here, out=go, mode="clip")
+            bits[step].take(here, out=go, mode="clip")
             at += go
         code ^= code >> np.uint64(29)
     return out
@@ -146,6 +146,7 @@ class Items:
         self.known[_slot(self.codes)] = True
         self.need = np.array([FEW if len(t) < LONG else max(MANY, len(t) // PART // 100) for t in self.texts], np.int64)
         self.longest = max(map(len, self.texts), default=0)
+        self.runs: dict[int, list[tuple[int, str]]] = {}
 
     def places(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(text, item, from, to): places where items may start."""
@@ -153,21 +154,23 @@ class Items:
             return []
         gap = self.longest + 4 * BAND
         starts = np.cumsum([0, *(len(t) + gap for t in texts)])  # texts one after the other, an item apart
+        whole, shift = ("\0" * STEPS).join(texts), np.cumsum([0, *(len(t) + STEPS for t in texts)])
         at, code = [], []
-        for t, start in zip(texts, starts.tolist(), strict=False):
-            for lo in range(0, max(0, len(t) - PART + 1), SLICE):
-                x = letters(t[lo : lo + SLICE + STEPS])
-                for walk in range(WALKS):
-                    g = codes(x, walk)[:SLICE]
-                    p = np.flatnonzero(self.known[_slot(g)])
-                    at.append(p + (start + lo))
-                    code.append(g[p])
+        for lo in range(0, max(0, len(whole) - PART + 1), SLICE):
+            x = letters(whole[lo : lo + SLICE + STEPS])
+            for walk in range(WALKS):
+                g = codes(x, walk)[:SLICE]
+                p = np.flatnonzero(self.known[_slot(g)])
+                at.append(p + lo)
+                code.append(g[p])
         if not at:
             return []
         at, code = np.concatenate(at), np.concatenate(code)
         row = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         same = self.codes[row] == code
         at, row = at[same], row[same]
+        text = np.searchsorted(shift, at, "right") - 1
+        at = at - shift[text] + starts[text]
         n = self.count[row]
         bands, parts = (int(starts[-1]) + 2 * gap) // BAND + 2, self.longest // PART + 1
         total, seen = np.cumsum(n), []
@@ -193,14 +196,22 @@ class Items:
         text = np.clip(np.searchsorted(starts, lo + gap // 2, "right") - 1, 0, len(texts) - 1)
         return list(zip(text.tolist(), (low // bands).tolist(), (lo - starts[text]).tolist(), (hi - starts[text]).tolist(), strict=True))
 
-    def _near(self, item: str, text: str, lo: int, hi: int) -> bool:
-        offsets = range(0, len(item) - SHORT + 1, 3)
-        need = SHARE * len(offsets)
-        for o in offsets:
-            if item[o : o + SHORT] in text[max(0, lo + o - BAND) : max(0, hi + o + BAND + SHORT)]:
+    def _near(self, k: int, text: str, lo: int, hi: int) -> bool:
+        runs = self.runs.get(k)
+        if runs is None:
+            item = self.texts[k]
+            runs = self.runs[k] = [(o, item[o : o + SHORT]) for o in range(0, len(item) - SHORT + 1, 3)]
+        low, span = lo - BAND, hi - lo + 2 * BAND + SHORT
+        text = " " * -low + text[: hi + len(self.texts[k]) + BAND] if low < 0 else text[low : hi + len(self.texts[k]) + BAND]
+        need, left = SHARE * len(runs), len(runs)
+        for o, run in runs:
+            if run in text[o : o + span]:
                 need -= 1
                 if need <= 0:
                     return True
+            left -= 1
+            if left < need:
+                return False
         return False
 
     def _best(self, item: str, text: str, lo: int, hi: int, limit: int) -> tuple[int, int] | None:
@@ -226,7 +237,7 @@ class Items:
         for d, k, lo, hi in todo:
             item, text = self.texts[k], docs[d]
             limit = int(self.max_edits * len(item))
-            if len(item) >= WHOLE and not self._near(item, text, lo, hi):
+            if len(item) >= WHOLE and not self._near(k, text, lo, hi):
                 continue
             got = self._best(item, text, max(0, lo - BAND), hi + BAND + len(item) + limit, limit)
             if got and (k not in best[d] or got < best[d][k]):
