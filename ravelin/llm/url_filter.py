@@ -7,17 +7,22 @@ that fits decides. For other urls templates decide:
   words with digits `{x}`, and, level by level, the literal segments under a node
   that has at least VARIED different ones with fewer than REPEAT urls each: `*`.
   What lies beyond DEPTH segments is one wildcard `**`.
-* Sibling branches of the same form (segments left below them) merge into `{~}`
-  if their labelled block rates don't differ significantly from the pooled rate
-  (a z-test at Z), so small branches borrow labels from similar ones. A branch
-  without labels stays by itself.
-* Labels are the rules' own verdicts. A template's purity is
-  (blocked + PRIOR * WEIGHT) / (labelled + WEIGHT); from REJECT on it is blocked.
+* Statistically similar siblings merge into `{~}`. A branch's kinds are the numbers
+  of segments left below it, each with the form of the next one. Siblings with the
+  same kinds are pooled; a branch merges with its pool if its share of each kind and,
+  where it has labels, its block rate don't differ significantly from the pool's
+  (z-tests at Z). So a branch without labels takes those of branches like it.
+* Labels are the rules' own verdicts. A node's purity is
+  (blocked + WEIGHT * outside) / (labelled + WEIGHT), where `outside` is the same for
+  its parent without the node's own labels, and PRIOR for a host. So labels reach what
+  they don't cover, the less the further away, and none counts twice. A template is
+  the node where a path ends; with a purity of REJECT or more it is blocked.
 
 All counts run over all urls and are added up before each shuffle; a host with a
 third of all rows is one row per template and task. Null urls and urls without
 `://` have an empty host and path and are allowed. Repeated rows get a row each;
-an empty table gives an empty table; other columns stay out.
+an empty table gives an empty table; other columns stay out, whatever their names.
+Very long urls are cut by DEPTH in the tree alone.
 """
 
 from __future__ import annotations
@@ -67,36 +72,65 @@ def segments(path: Column) -> Column:
     return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit("**")))).otherwise(shaped)
 
 
+def form_of(segment: Column) -> Column:
+    """A segment's wildcard without its ending; `w` for a literal, nothing for none."""
+    return F.when(segment.isNull(), "").when(segment.rlike(r"^(\{[nhx]\}|\*\*)"), F.regexp_extract(segment, r"^(\{[nhx]\}|\*\*)", 1)).otherwise("w")
+
+
+def _differs(share: Column, among: Column, pooled: Column, size: Column) -> Column:
+    """Whether a share among some differs significantly from a pooled share among `size`."""
+    return F.abs(share - pooled) > Z * F.sqrt(F.greatest(pooled * (1 - pooled), 1 / size) / among)
+
+
+def _merging(part: DataFrame) -> DataFrame:
+    """(host, template, child) of the branches that merge with siblings."""
+    node, branch = ["host", "template"], ["host", "template", "child"]
+    kinds = part.groupBy(*branch, "kind").agg(*(F.sum(c).alias(c) for c in ("n", "lab", "blk")))
+    whole = kinds.groupBy(*branch).agg(F.array_join(F.array_sort(F.collect_list("kind")), "|").alias("shape"), *(F.sum(c).alias(f"b_{c}") for c in ("n", "lab", "blk")))
+    pool = whole.groupBy(*node, "shape").agg(F.count("*").alias("members"), *(F.sum(f"b_{c}").alias(f"p_{c}") for c in ("n", "lab", "blk"))).filter("members > 1")
+    pooled = whole.join(pool, [*node, "shape"])
+    other_rate = (F.col("b_lab") > 0) & _differs(F.col("b_blk") / F.when(F.col("b_lab") > 0, F.col("b_lab")), F.col("b_lab"), F.col("p_blk") / F.col("p_lab"), F.col("p_lab"))
+    pooled = pooled.filter(~F.coalesce(other_rate, F.lit(False)))
+    rows = kinds.select(*branch, "kind", "n").join(pooled.select(*branch, "shape", "b_n", "p_n"), branch)
+    of_kind = kinds.select(*branch, "kind", "n").join(whole.select(*branch, "shape"), branch).groupBy(*node, "shape", "kind").agg(F.sum("n").alias("k_n"))
+    rows = rows.join(of_kind, [*node, "shape", "kind"])
+    other = _differs(F.col("n") / F.col("b_n"), F.col("b_n"), F.col("k_n") / F.col("p_n"), F.col("p_n"))
+    return rows.groupBy(*branch).agg(F.max(other).alias("other")).filter("not other").select(*branch)
+
+
 def templates(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """rows: host, segs, verdict (null: unlabelled) -> (host, segs, template, labelled, blocked, purity)."""
+    """rows: host, segs, verdict (null: unlabelled) -> (host, segs, template, purity)."""
+
+    def counted(t: DataFrame) -> DataFrame:
+        """t with each row's node's labels and what its parent, of which t has them before, says without these."""
+        at = t.groupBy("host", "template").agg(F.sum("lab").alias("lab_"), F.sum("blk").alias("blk_"))
+        lab, blk = (F.coalesce(f"node_{c}", f"{c}_") for c in ("lab", "blk"))
+        outside = (blk - F.col("blk_") + WEIGHT * F.col("outside")) / (lab - F.col("lab_") + WEIGHT)
+        t = t.join(at, ["host", "template"]).withColumn("outside", outside)
+        return t.withColumns({"node_lab": F.col("lab_"), "node_blk": F.col("blk_")}).select(columns)
+
+    columns = ["host", "segs", "n", "lab", "blk", "template", "outside", "node_lab", "node_blk"]
     table = rows.groupBy("host", "segs").agg(
         F.count("*").alias("n"), F.count("verdict").alias("lab"), F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).cast("long").alias("blk")
     )
-    table = scratch.keep(table.withColumn("template", F.lit("")))
+    none = F.lit(None).cast("long")
+    table = scratch.keep(counted(table.withColumns({"template": F.lit(""), "outside": F.lit(PRIOR), "node_lab": none, "node_blk": none})))
     deepest = table.agg(F.max(F.size("segs"))).first()[0] or 0
     for d in range(deepest):
-        here = F.col("segs")[d]
         inside = F.size("segs") > d
-        part = table.filter(inside).select("*", here.alias("child"), (F.size("segs") - d - 1).alias("below"))
-        rest = table.filter(~inside)
+        kind = F.concat((F.size("segs") - d - 1).cast("string"), form_of(F.get("segs", F.lit(d + 1))))
+        part = table.filter(inside).select("*", F.col("segs")[d].alias("child"), kind.alias("kind"))
         child = part.groupBy("host", "template", "child").agg(F.sum("n").alias("n"))
-        literal = ~F.col("child").rlike(r"^(\{.*|\*\*)")
+        literal = ~F.col("child").rlike(r"^(\{[nhx]\}|\*\*)")
         node = child.filter(literal).groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"))
         wild = node.filter((F.col("kinds") >= VARIED) & (F.col("total") < REPEAT * F.col("kinds"))).select("host", "template", F.lit(True).alias("wild"))
         part = part.join(wild, ["host", "template"], "left").withColumn("child", F.when(F.coalesce("wild", F.lit(False)) & literal, F.lit("*")).otherwise(F.col("child"))).drop("wild")
-        branch = part.groupBy("host", "template", "child").agg(F.sum("lab").alias("bl"), F.sum("blk").alias("bb"), F.min("below").alias("lo"), F.max("below").alias("hi"))
-        pool = branch.groupBy("host", "template", "lo", "hi").agg(F.sum("bl").alias("pl"), F.sum("bb").alias("pb"), F.sum(F.when(F.col("bl") > 0, 1).otherwise(0)).alias("members"))
-        rate = F.col("pb") / F.col("pl")
-        se = F.sqrt(F.greatest(rate * (1 - rate), 1 / F.col("pl")) / F.col("bl"))
-        like = (F.col("bl") > 0) & (F.col("members") > 1) & (F.abs(F.col("bb") / F.when(F.col("bl") > 0, F.col("bl")) - rate) <= Z * se)
-        merged = branch.join(pool, ["host", "template", "lo", "hi"]).filter(like).select("host", "template", "child", F.lit(True).alias("merged"))
+        merged = _merging(part).withColumn("merged", F.lit(True))
         part = part.join(merged, ["host", "template", "child"], "left").withColumn("child", F.when(F.coalesce("merged", F.lit(False)), F.lit("{~}")).otherwise(F.col("child")))
-        part = part.withColumn("template", F.concat("template", F.lit("/"), "child")).select(table.columns)
-        old, table = table, scratch.keep(part.unionByName(rest))
+        part = counted(part.withColumn("template", F.concat("template", F.lit("/"), "child")))
+        old, table = table, scratch.keep(part.unionByName(table.filter(~inside)))
         scratch.drop(old)
-    total = table.groupBy("host", "template").agg(F.sum("lab").alias("labelled"), F.sum("blk").alias("blocked"))
-    purity = (F.col("blocked") + PRIOR * WEIGHT) / (F.col("labelled") + WEIGHT)
-    return table.select("host", "segs", "template").join(total.withColumn("purity", purity), ["host", "template"])
+    return table.select("host", "segs", "template", ((F.col("node_blk") + WEIGHT * F.col("outside")) / (F.col("node_lab") + WEIGHT)).alias("purity"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -107,7 +141,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "p
     base = base.select("page_id", host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = base.select("page_id", "host", "path", name.alias("rule"), verdict.alias("by_rule"), segments(F.col("path")).alias("segs"))
-    tree = scratch.keep(templates(base.select("host", "segs", F.col("by_rule").alias("verdict")), scratch).select("host", "segs", "template", "purity"))
+    tree = templates(base.select("host", "segs", F.col("by_rule").alias("verdict")), scratch)
     open_ = base.filter("rule is null")
     judged = open_.join(tree, ["host", "segs"], "left").select(
         "page_id", "host", "path", "rule", F.when(F.col("purity") >= REJECT, "block").otherwise("allow").alias("verdict"), "template", "purity"
