@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from functools import reduce
 
@@ -46,15 +47,17 @@ class Scratch:
     """Tables written under the cluster's shared checkpoint folder.
 
     A written table cuts lineage and outlives lost executors. `spark.checkpoint.dir`
-    names the folder; where a session has none (tests on one machine) a local
-    one is set.
+    names the folder; a session on one machine that has none gets a local one, on a
+    cluster it is an error.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = "/tmp/checkpoints"
+            if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="checkpoints-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.base = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self.n = 0
@@ -133,24 +136,29 @@ class TextHasher:
         inverse = pow(self.BASE, -1, 1 << 64)
         self._up, self._down = (np.multiply.accumulate(np.array([1] + [x] * n, np.uint64)) for x in (self.BASE, inverse))
 
-    def _piece(self, data: np.ndarray, space: np.ndarray) -> np.ndarray:
+    def _piece(self, data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(data) >= len(self._up):
             self._grow(max(len(data), 2 * len(self._up)))
         edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
         start, end = edges[::2], edges[1::2]
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self._values[data] * self._up[: len(data)], out=total[1:])
-        return mix((total[end] - total[start]) * self._down[start] ^ (end - start).astype(np.uint64))
+        return mix((total[end] - total[start]) * self._down[start] ^ (end - start).astype(np.uint64)), start, end
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    def spans(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, starts and ends of the words of a text in bytes."""
+        data = np.frombuffer(raw, np.uint8)
         space = self._space[data]
         if len(data) <= self.PIECE:
             return self._piece(data, space)
         gaps = np.flatnonzero(space)
         cuts = gaps[np.minimum(np.searchsorted(gaps, np.arange(self.PIECE, len(data), self.PIECE)), max(len(gaps) - 1, 0))] if len(gaps) else gaps
         bounds = np.unique(np.concatenate(([0], cuts, [len(data)]))).tolist()
-        return np.concatenate([self._piece(data[a:b], space[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)])
+        parts = [(*self._piece(data[a:b], space[a:b]), a) for a, b in zip(bounds, bounds[1:], strict=False)]
+        return np.concatenate([h for h, *_ in parts]), np.concatenate([s + a for _, s, _, a in parts]), np.concatenate([e + a for _, _, e, a in parts])
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self.spans((text or "").encode("utf-8", "surrogatepass"))[0]
 
 
 def rolling(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:

@@ -5,229 +5,304 @@ over it holds a word sequence that also starts earlier: in a document with a
 smaller id, or further up in the same one. Words are runs of bytes other than
 0x20 and 0x09-0x0D, unchanged.
 
-1. Seeds. Of every window's runs of SEED words the one with the smallest hash is
-   its seed. Equal windows have equal seeds, so only windows whose seed occurs
-   twice can recur. About one position in eight is a seed; a count per seed,
-   added up before the shuffle, tells which recur.
-2. Confirmation. Windows with a recurring seed are compared by two 64-bit
-   hashes; per distinct window the first place stays. A document's recurring
-   passages are its candidate windows that aren't first places.
-3. Automata. Each shard of documents compiles its confirmed passages into an
-   Aho-Corasick automaton over words and streams its documents through it; what
-   it finds, first places excepted, goes.
-
-Exact copies of a text are found by SHA-256 beforehand and need no windows.
-Nothing is collected; a passage that a third of all documents share adds up to
-one row per task before it is shuffled.
+1. Confirmation. Of every window's runs of SEED words the one with the smallest
+   hash is its seed; a count per seed, added up before the shuffle, tells which
+   recur. Windows with a recurring seed are compared by two 64-bit hashes. Those
+   that occur in two places are confirmed; the document of the first of them
+   writes them down: maximal runs of confirmed windows, cut into passages of at most
+   SEGMENT windows, with their place. Exact copies of a text, found by SHA-256, add
+   nothing to be written down.
+2. Automata. Documents are dealt into shards of about SHARD bytes. A passage goes to
+   each shard that has one of its seeds. Each shard compiles its passages' seeds
+   into an Aho-Corasick automaton over characters and streams all of its documents through
+   it, exact copies too. From each hit the passage is followed to both sides as far
+   as its words agree; of the stretches of `window` words or more so found in a document
+   those go whose passage was written down from an earlier place.
+
+Until the automata have run nothing is known of where passages occur but for the first
+place of each window. Nothing is collected; a passage that a third of all documents
+share is one row per shard, and its windows add up to one row per task before they are
+shuffled.
 
 Null or empty texts have no words. Rows that share a doc_id are one document:
-repeated rows get the same result each. Rows without a doc_id stay as they are.
-Texts shorter than a window stay. An empty table gives an empty table. A column
-named like one of the results is replaced.
+repeated rows get the same result each; of different texts under one id neither starts
+earlier at the same position. Rows without a doc_id stay as they are. Texts shorter
+than a window stay. An empty table gives an empty table. A column named like one of
+the results is replaced.
 """
 
 from __future__ import annotations
 
+import struct
+from collections import defaultdict
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHasher, rolling, signed
+from .common import Scratch, TextHasher, rolling, signed
 
 SEED = 6
-SHARD_WORDS = 300_000
-
+SEGMENT = 64
+SHARD = 4 << 20
+STREAM = 4 << 20  # characters of one text that pass an automaton at once
+_RESULTS = ("n_words", "n_removed", "kept", "spans")
 
-class _Hasher(WordHasher):
-    """Hashes of words given as bytes."""
 
-    def __call__(self, tokens):
-        seen = self._seen
-        try:
-            return np.array([seen[w] for w in tokens], np.uint64)
-        except KeyError:
-            if len(seen) > self._most:
-                seen.clear()
-            h = self._hash
-            for w in set(tokens).difference(seen):
-                seen[w] = h(w)
-            return np.array([seen[w] for w in tokens], np.uint64)
+@cache
+def _hasher() -> TextHasher:
+    return TextHasher(fold=False)
 
 
 def seed_places(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Seed hashes at all positions, and each window's seed position."""
     s = rolling(h, k)
-    span = window - k + 1
-    view = np.lib.stride_tricks.sliding_window_view(s, span)
+    view = np.lib.stride_tricks.sliding_window_view(s, window - k + 1)
     return s, view.argmin(1) + np.arange(len(view))
 
 
 def _seeds(docs: DataFrame, window: int, k: int) -> DataFrame:
     def run(batches):
-        hasher = _Hasher()
         for batch in batches:
             out, ids = [], []
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = raw.split()
-                if len(words) >= window:
-                    s, at = seed_places(hasher(words), window, k)
-                    got = s[np.unique(at)]
-                    out.append(got)
-                    ids.append(np.full(len(got), i, np.int64))
+                h = _hasher().spans(raw)[0]
+                if len(h) >= window:
+                    s, at = seed_places(h, window, k)
+                    out.append(s[np.unique(at)])
+                    ids.append(np.full(len(out[-1]), i, np.int64))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(out))), pa.array(np.concatenate(ids))], names=["seed", "doc_id"])
 
     return docs.mapInArrow(run, "seed long, doc_id long")
 
 
-def _candidates(hasher, words, seeds, window, k):
-    h = hasher(words)
-    s, at = seed_places(h, window, k)
-    return h, np.nonzero(np.isin(s[at], np.asarray(seeds, np.int64).view(np.uint64)))[0]
+def runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of consecutive numbers: (first, last)."""
+    if not len(x):
+        return []
+    cut = np.flatnonzero(np.diff(x) != 1)
+    return list(zip(x[np.r_[0, cut + 1]].tolist(), x[np.r_[cut, len(x) - 1]].tolist(), strict=True))
 
 
-def _windows(joined: DataFrame, window: int, k: int) -> DataFrame:
-    """(w1, w2, doc_id, pos) of candidate windows; joined: doc_id, raw, seeds, copy and what else there is."""
+# -- confirmation -------------------------------------------------------------------
 
-    def run(batches):
-        hasher = _Hasher()
-        for batch in batches:
-            parts = []
-            for i, raw, seeds, copy in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-                if copy or not seeds or len(words := raw.split()) < window:
-                    continue
-                h, cand = _candidates(hasher, words, seeds, window, k)
-                if len(cand):
-                    parts.append((rolling(h, window)[cand], rolling(h, window, 77)[cand], np.full(len(cand), i, np.int64), cand.astype(np.int32)))
-            if parts:
-                a, b, c, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(signed(b)), pa.array(c), pa.array(d)], names=["w1", "w2", "doc_id", "pos"])
 
-    return joined.mapInArrow(run, "w1 long, w2 long, doc_id long, pos int")
+def _confirm(window: int, k: int):
+    """Shard by shard: windows with a recurring seed; `own` where the text has exact copies."""
 
+    def run(docs: pa.Table, lists: pa.Table) -> pa.Table:
+        known = dict(zip(lists.column("doc_id").to_pylist(), zip(lists.column("seeds"), lists.column("copies").to_pylist(), lists.column("own").to_pylist(), strict=True), strict=True))
+        parts = []
+        for i, h, raw in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "h", "raw")), strict=True):
+            if i not in known or h in known[i][1]:
+                continue
+            words = _hasher().spans(raw)[0]
+            if len(words) < window:
+                continue
+            s, at = seed_places(words, window, k)
+            seeds = known[i][0].values.to_numpy().view(np.uint64)
+            cand = np.flatnonzero(np.isin(s[at], seeds))
+            parts.append((rolling(words, window)[cand], rolling(words, window, 77)[cand], np.full(len(cand), i, np.int64), cand.astype(np.int32), np.full(len(cand), h in known[i][2])))
+        a, b, c, d, e = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int32, bool))
+        return pa.Table.from_arrays([pa.array(signed(a)), pa.array(signed(b)), pa.array(c), pa.array(d), pa.array(e)], names=["w1", "w2", "doc_id", "pos", "own"])
 
-def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs of consecutive window starts: (first, last)."""
-    if not len(starts):
-        return []
-    cut = np.nonzero(np.diff(starts) != 1)[0]
-    return list(zip(starts[np.r_[0, cut + 1]].tolist(), starts[np.r_[cut, len(starts) - 1]].tolist(), strict=True))
-
-
-def _letter(i: int) -> str:
-    return chr(i + 1 if i < 0xD7FF else i + 0x801)
-
-
-def locate(docs: list[list[bytes]], passages: list[list[tuple[int, int]]], firsts: list, window: int) -> list[np.ndarray]:
-    """Per document a mask of words to remove. One shard: passages become patterns of one automaton over words."""
-    import ahocorasick
-
-    masks = [np.zeros(len(w), bool) for w in docs]
-    if not any(passages):
-        return masks
-    letters: dict[bytes, str] = {}
-    texts = []
-    for words in docs:
-        for w in words:
-            if w not in letters:
-                letters[w] = _letter(len(letters))
-        texts.append("".join([letters[w] for w in words]))
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for text, runs in zip(texts, passages, strict=True):
-        for a, b in runs:
-            automaton.add_word(text[a : b + window])
-    automaton.make_automaton()
-    for text, first, mask in zip(texts, firsts, masks, strict=True):
-        if len(text) < window:
-            continue
-        starts = np.zeros(len(text) + 1, np.int32)
-        for end, size in automaton.iter(text):
-            starts[end - size + 1] += 1
-            starts[end - window + 2] -= 1
-        if not starts.any():
-            continue
-        on = np.cumsum(starts[:-1]) > 0
-        if first is not None and len(first):
-            on[np.asarray(first)] = False
-        cover = np.zeros(len(text) + 1, np.int32)
-        at = np.nonzero(on)[0]
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + window, -1)
-        mask |= np.cumsum(cover[:-1]) > 0
-    return masks
+    return run
+
+
+def pack(text: bytes, seeds: np.ndarray, at: np.ndarray, size: np.ndarray) -> bytes:
+    """A passage, its words with a space around each, with its seeds' hashes, places and sizes in it."""
+    return struct.pack("<I", len(seeds)) + seeds.astype("<u8").tobytes() + at.astype("<u4").tobytes() + size.astype("<u4").tobytes() + text
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    n = struct.unpack_from("<I", blob)[0]
+    return np.frombuffer(blob, "<i8", n, 4), np.frombuffer(blob, "<u4", n, 4 + 8 * n), np.frombuffer(blob, "<u4", n, 4 + 12 * n), blob[4 + 16 * n :]
+
+
+def passages_of(raw: bytes, places: np.ndarray, window: int, k: int):
+    """(start, packed) of the passages of a text whose confirmed windows start at the given places."""
+    h, start, end = _hasher().spans(raw)
+    places = places[places + window <= len(h)]
+    if not len(places):
+        return
+    s, at = seed_places(h, window, k)
+    words, room = raw.split(), np.r_[0, np.cumsum(end - start + 1)]
+    for first, last in runs(places):
+        for a in range(first, last + 1, SEGMENT):
+            b = min(a + SEGMENT - 1, last)
+            p = np.unique(at[a : b + 1])
+            yield a, pack(b" " + b" ".join(words[a : b + window]) + b" ", s[p], room[p] - room[a], room[p + k] - room[p] + 1)
+
+
+def _write_down(window: int, k: int):
+    def run(docs: pa.Table, firsts: pa.Table) -> pa.Table:
+        places = dict(zip(firsts.column("doc_id").to_pylist(), firsts.column("places"), strict=True))
+        home, start, blob = [], [], []
+        for i, raw in zip(docs.column("doc_id").to_pylist(), docs.column("raw"), strict=True):
+            if i in places:
+                for a, packed in passages_of(raw.as_py(), np.sort(places[i].values.to_numpy()), window, k):
+                    home.append(i)
+                    start.append(a)
+                    blob.append(packed)
+        return pa.Table.from_arrays([pa.array(home, pa.int64()), pa.array(start, pa.int32()), pa.array(blob, pa.binary())], names=["home", "start", "blob"])
+
+    return run
+
+
+def _seeds_of(batches):
+    for batch in batches:
+        seeds = [unpack(b)[0] for b in batch.column("blob").to_pylist()]
+        n = [len(s) for s in seeds]
+        at = np.repeat(np.arange(len(n)), n)
+        yield pa.RecordBatch.from_arrays([batch.column("home").take(pa.array(at)), batch.column("start").take(pa.array(at)), pa.array(np.concatenate(seeds) if seeds else np.empty(0, np.int64))], names=["home", "start", "seed"])
+
+
+# -- automata ---------------------------------------------------------------------------
+
+
+class Shard:
+    """Passages of a shard and the automaton of their seeds."""
+
+    def __init__(self, passages: list[tuple[int, int, bytes]], window: int):
+        import ahocorasick
+
+        self.window, self.home, self.text = window, [], []
+        patterns: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for home, start, blob in dict.fromkeys(passages):
+            _, at, size, text = unpack(blob)
+            letters = text.decode("latin-1")  # a character for each byte
+            for a, n in zip(at.tolist(), size.tolist(), strict=True):
+                patterns[letters[a : a + n]].append((len(self.text), a))
+            self.home.append((home, start))
+            self.text.append(letters)
+        self.longest = max(map(len, patterns), default=0)
+        self.automaton = ahocorasick.Automaton()
+        for pattern, where in patterns.items():
+            self.automaton.add_word(pattern, (len(pattern), where))
+        self.automaton.make_automaton()
+
+    def _hits(self, text: str):
+        if not self.longest:
+            return
+        for lo in range(0, len(text), STREAM):
+            part = text if len(text) <= STREAM else text[lo : lo + STREAM + self.longest - 1]
+            for end, (size, where) in self.automaton.iter(part):
+                if end - size + 1 < STREAM:
+                    yield lo + end - size + 1, size, where
+
+    def mask(self, doc_id: int, words: list[bytes]) -> np.ndarray:
+        """Which words of the document lie in a window that also starts earlier."""
+        cover = np.zeros(len(words) + 1, np.int64)
+        text = f" {b' '.join(words).decode('latin-1')} "
+        found, whole = [], set()
+        for at, size, where in self._hits(text):
+            for k, off in where:
+                if (k, at - off) in whole:
+                    continue
+                passage, (home, start) = self.text[k], self.home[k]
+                if home > doc_id:
+                    continue
+                if at >= off and text.startswith(passage, at - off):
+                    whole.add((k, at - off))
+                    x, y = 0, len(passage) - 1
+                else:
+                    x = passage.index(" ", off - _alike(text, at, passage, off, -1))
+                    y = passage.rindex(" ", 0, off + size + _alike(text, at + size, passage, off + size, 1))
+                    if passage.count(" ", x, y) < self.window:
+                        continue
+                found.append((at - off + x, at - off + y, home, start + (passage.count(" ", 0, x) if x else 0)))
+        if found:
+            a, b, home, start = np.array(found, np.int64).T
+            space = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
+            first, last = np.searchsorted(space, a), np.searchsorted(space, b)
+            earlier = (home < doc_id) | (start < first)
+            np.add.at(cover, first[earlier], 1)
+            np.add.at(cover, last[earlier], -1)
+        return np.cumsum(cover[:-1]) > 0
+
+
+def _alike(text: str, i: int, other: str, j: int, way: int) -> int:
+    """How many characters before (way -1) or from (1) the places i and j on are the same."""
+    low, high = 0, min(i, j) if way < 0 else min(len(text) - i, len(other) - j)
+    while low < high:
+        mid = (low + high + 1) // 2
+        same = text[i - mid : i] == other[j - mid : j] if way < 0 else text[i : i + mid] == other[j : j + mid]
+        low, high = (mid, high) if same else (low, mid - 1)
+    return low
+
+
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with all of its fields nullable, as a result's must be."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    return pa.list_(_nullable(kind.value_type)) if pa.types.is_list(kind) else kind
+
+
+def _locate(window: int):
+    def run(docs: pa.Table, passages: pa.Table) -> pa.Table:
+        shard = Shard(list(zip(*(passages.column(c).to_pylist() for c in ("home", "start", "blob")), strict=True)), window)
+        n_words, n_removed, kept, starts, ends, sizes = [], [], [], [], [], []
+        for i, raw in zip(docs.column("doc_id").to_pylist(), docs.column("raw"), strict=True):
+            words = raw.as_py().split()
+            mask = shard.mask(i, words) if i is not None and len(words) >= window else np.zeros(len(words), bool)
+            gone = runs(np.flatnonzero(mask))
+            n_words.append(len(words))
+            n_removed.append(int(mask.sum()))
+            kept.append(b" ".join([w for w, m in zip(words, mask.tolist(), strict=True) if not m] if gone else words))
+            starts += [a for a, _ in gone]
+            ends += [b + 1 for _, b in gone]
+            sizes.append(len(gone))
+        pairs = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["start", "end"])
+        spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pairs)
+        rest = docs.column("rest")
+        out = [docs.column("doc_id"), rest.cast(_nullable(rest.type)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), spans]
+        return pa.Table.from_arrays(out, names=["doc_id", "rest", *_RESULTS])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per row: the columns of `keep` (all but the text by default), `n_words`, `n_removed`,
     `kept` (the words that stay, joined by one space) and `spans` (removed runs of words: start, end)."""
     k = min(SEED, window)
-    new = {"n_words", "n_removed", "kept", "spans"}
-    keep = [c for c in (keep if keep is not None else docs.columns) if c not in new and c not in (doc_id, text)]
+    keep = [c for c in (keep if keep is not None else docs.columns) if c not in _RESULTS and c not in (doc_id, text)]
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).cast("binary").alias("raw"), F.struct(F.lit(0).alias("__0"), *keep).alias("rest"))
-    known = base.filter("doc_id is not null").select("doc_id", "raw")
+    size, rows = base.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)), F.count("*")).first()
+    shards = max(1, -(-(size + 64 * rows) // SHARD))
 
+    def shard(of: Column) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(shards)).alias("shard")
+
+    known = base.filter("doc_id is not null").select("doc_id", "raw")
     # Tables, so that each pass over the texts runs once, and so that a join
     # shuffles both sides and can split a hot key.
     scratch = Scratch(docs.sparkSession)
-    hashed = known.select("doc_id", F.sha2("raw", 256).alias("sha"))
+    hashed = known.select("doc_id", F.sha2("raw", 256).alias("sha"), F.xxhash64("raw").alias("h"))
     classes = scratch.keep(hashed.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last"))
-    copies = hashed.join(classes, "sha").filter("doc_id > rep").select("doc_id").distinct()
-
+    same = hashed.join(classes, "sha").select("doc_id", F.lit(None).cast("long").alias("seed"), F.when(F.col("doc_id") > F.col("rep"), F.col("h")).alias("copy"), F.when(F.col("doc_id") == F.col("rep"), F.col("h")).alias("own"))
     seeds = scratch.keep(_seeds(known, window, k))
     recurring = scratch.keep(seeds.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"))
-    marked = seeds.join(recurring, "seed").select("doc_id", "seed", F.lit(False).alias("copy"))
-    marked = marked.unionByName(copies.select("doc_id", F.lit(None).cast("long").alias("seed"), F.lit(True).alias("copy")))
-    lists = scratch.keep(marked.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"), F.max("copy").alias("copy")))
+    none = F.lit(None).cast("long")
+    marked = seeds.join(recurring, "seed").select("doc_id", "seed", none.alias("copy"), none.alias("own")).unionByName(same)
+    lists = marked.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"), F.collect_set("copy").alias("copies"), F.collect_set("own").alias("own"))
+    lists = scratch.keep(lists.select(shard(F.col("doc_id")), "doc_id", "seeds", "copies", "own"))
     scratch.drop(seeds, recurring, classes)
 
-    joined = base.join(lists, "doc_id", "left")  # used twice in the same form: the texts are shuffled once
-    windows = _windows(joined.select("doc_id", "raw", "seeds", "copy", "rest"), window, k)
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
-    firsts = first.groupBy("at.doc_id").agg(F.collect_set("at.pos").alias("firsts"))
-    full = joined.join(firsts, "doc_id", "left").select("doc_id", "rest", "raw", "seeds", F.coalesce("copy", F.lit(False)).alias("copy"), "firsts")
-    schema = f"doc_id long, rest {full.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, kept binary, spans array<struct<start:int,`end`:int>>"
-
-    def run(batches):
-        hasher = _Hasher()
-        for batch in batches:
-            raws, seeds_, copies_, firsts_ = (batch.column(c).to_pylist() for c in ("raw", "seeds", "copy", "firsts"))
-            lo = 0
-            while lo < len(raws):
-                shard, total = [], 0
-                while lo + len(shard) < len(raws) and (not shard or total < SHARD_WORDS):
-                    shard.append(raws[lo + len(shard)].split())
-                    total += len(shard[-1])
-                hi = lo + len(shard)
-                passages = []
-                for words, seeds, copy, first in zip(shard, seeds_[lo:hi], copies_[lo:hi], firsts_[lo:hi], strict=True):
-                    if copy or not seeds or len(words) < window:
-                        passages.append([])
-                    else:
-                        _, cand = _candidates(hasher, words, seeds, window, k)
-                        passages.append(_runs(np.setdiff1d(cand, np.asarray(first or [], np.int64), assume_unique=True)))
-                ids = batch.column("doc_id").slice(lo, hi - lo).to_pylist()
-                streamed = [[] if copy or i is None else words for words, copy, i in zip(shard, copies_[lo:hi], ids, strict=True)]
-                masks = locate(streamed, passages, firsts_[lo:hi], window)
-                n_words, n_removed, kept, starts, ends, sizes = [], [], [], [], [], []
-                for words, mask, copy, i in zip(shard, masks, copies_[lo:hi], ids, strict=True):
-                    if copy or i is None:
-                        mask = np.full(len(words), bool(copy) and len(words) >= window)
-                    n_words.append(len(words))
-                    n_removed.append(int(mask.sum()))
-                    kept.append(b" ".join([w for w, m in zip(words, mask.tolist(), strict=True) if not m] if n_removed[-1] else words))
-                    runs = _runs(np.nonzero(mask)[0])
-                    starts += [a for a, _ in runs]
-                    ends += [b + 1 for _, b in runs]
-                    sizes.append(len(runs))
-                offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-                spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["start", "end"]))
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("rest"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), spans],
-                    names=["doc_id", "rest", "n_words", "n_removed", "kept", "spans"],
-                )
-                lo = hi
-
-    out = full.mapInArrow(run, schema)
+    # The texts take the same form each time, so they are shuffled once.
+    at = F.when(F.col("doc_id").isNull(), F.xxhash64("raw")).otherwise(F.col("doc_id"))
+    dealt = base.select(shard(at), "doc_id", F.xxhash64("raw").alias("h"), "raw", "rest")
+    texts = dealt.groupby("shard")
+    windows = texts.cogroup(lists.groupby("shard")).applyInArrow(_confirm(window, k), "w1 long, w2 long, doc_id long, pos int, own boolean")
+    place = F.struct("doc_id", "pos")
+    first = windows.groupBy("w1", "w2").agg(F.min(place).alias("at"), F.max(place).alias("last"), F.max("own").alias("own")).filter("at < last or own")
+    firsts = first.groupBy("at.doc_id").agg(F.collect_list("at.pos").alias("places")).select(shard(F.col("doc_id")), "doc_id", "places")
+    passages = texts.cogroup(firsts.groupby("shard")).applyInArrow(_write_down(window, k), "home long, start int, blob binary").repartition("home", "start")
+    targets = lists.select("shard", F.explode("seeds").alias("seed")).distinct()
+    routed = passages.mapInArrow(_seeds_of, "home long, start int, seed long").join(targets, "seed").select("home", "start", "shard").distinct()
+    moved = routed.join(passages, ["home", "start"]).select("shard", "home", "start", "blob")
+    rest = dealt.schema["rest"].dataType.simpleString()
+    out = texts.cogroup(moved.groupby("shard")).applyInArrow(_locate(window), f"doc_id long, rest {rest}, n_words long, n_removed long, kept binary, spans array<struct<start:int,`end`:int>>")
     return out.select(F.col("doc_id").alias(doc_id), *[F.col(f"rest.`{c}`").alias(c) for c in keep], "n_words", "n_removed", F.col("kept").cast("string").alias("kept"), "spans")
