@@ -293,7 +293,7 @@ def join_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str = "
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = scratch.keep(_sets(base, k))
     classes = sets.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    member = sets.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
+    member = sets.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.col("rep")))
     reps = sets.join(classes.select("n", "s1", "s2", F.col("rep").alias("doc_id")), ["n", "s1", "s2", "doc_id"]).dropDuplicates(["doc_id", "s1", "s2", "n"])
 
     rows = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
