@@ -136,9 +136,15 @@ def format_chat(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
             yield last, rows
 
     def matrices(batches):
-        rows = [(*k, block_matrix([r[0] for r in got]).ravel().tolist()) for k, got in groups(batches, ("c", "b", "t", "role"))]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()))
+        rows = []
+        for k, got in groups(batches, ("c", "b", "t", "role")):
+            rows.append((*k, block_matrix([r[0] for r in got]).ravel().tolist()))
+            if len(rows) == 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["c", "b", "t", "m"])
+                rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["c", "b", "t", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["c", "b", "t", "m"])
 
     mats = scratch.keep(dealt.select("c", "b", "t", "role").mapInArrow(matrices, "c long, b long, t long, m array<double>"))
     ordered = mats.repartition("c").sortWithinPartitions("c", "b", "t")
@@ -159,6 +165,9 @@ def format_chat(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
             ends.reverse()
             out.extend((c, b, t, ends[k], ends[k + 1]) for k, (b, t, _) in enumerate(rows))
 
+        def emit():
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(),) * 3 + (pa.int32(),) * 2, strict=True)], names=["c", "b", "t", "s0", "s1"])
+
         last, rows = None, []
         for batch in batches:
             for c, b, t, m in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -167,10 +176,13 @@ def format_chat(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
                     rows = []
                 last = c
                 rows.append((b, t, np.array(m).reshape(4, 4)))
+                if len(out) >= 1000:
+                    yield emit()
+                    out.clear()
         if rows:
             close(last, rows)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(),) * 3 + (pa.int32(),) * 2, strict=True)], names=["c", "b", "t", "s0", "s1"])
+            yield emit()
 
     ends = ordered.mapInArrow(borders, "c long, b long, t long, s0 int, s1 int")
     final_block = mats.groupBy("c").agg(F.max(F.struct("b", "t")).alias("z")).select("c", F.col("z.b").alias("zb"), F.col("z.t").alias("zt"))
