@@ -156,15 +156,15 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     "Next" goes by descending doc_id, after the last comes the first. Documents
     are dealt by blocks of ids and streamed in order, so the next text is the next
     row; only a block's last row and first row meet in a second, small step. Rows
-    that share a doc_id stand side by side in the order of their texts; rows
-    without one stand last.
+    that share a doc_id stand side by side in the order of their packed texts; rows
+    without one stand last, in an order that their texts' hashes give.
     """
     scratch = Scratch(docs.sparkSession)
     low = -(1 << 62)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = (
         _packed(src)
-        .withColumn("sid", F.coalesce("doc_id", F.lit(low)))
+        .withColumn("sid", F.coalesce("doc_id", low - F.pmod(F.xxhash64("z"), F.lit(1 << 30))))
         .withColumn("block", F.shiftright("sid", BLOCK_BITS))
         .repartition("block")
         .sortWithinPartitions("block", F.desc("sid"), "z")
