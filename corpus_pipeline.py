@@ -5,7 +5,8 @@ stage's result as a table in the shared scratch folder and reads it again.
 Stages return the columns of `documents`; the last one returns token ids.
 
 Null texts count as empty and pass the filters; rows without a doc_id are never
-near duplicates of anything; repeated rows are near duplicates, so one stays. An
+near duplicates of anything; repeated rows are near duplicates, so one stays, the
+first by its other columns; different texts under one doc_id all stay or go with it. An
 empty table gives an empty table. Further columns of `documents` are carried on
 up to the last stage.
 """
@@ -35,7 +36,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates the document with the smallest id."""
     found = ngram_join.join_components(docs, k=SHINGLE, num=LIKENESS[0], den=LIKENESS[1], count=False)
     first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["__id"]).drop("__id").dropDuplicates(["doc_id"])
+    kept = docs.join(first, docs["doc_id"] == first["__id"]).drop("__id")
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    kept = kept.groupBy("doc_id", F.sha2("text", 256).alias("__sha")).agg(F.min_by(F.struct(*docs.columns), others).alias("__row")).select("__row.*")
     return kept.unionByName(docs.filter("doc_id is null"))
 
 
