@@ -8,19 +8,20 @@ smaller id, or further up in the same one. Words are runs of bytes other than
 1. Confirmation. Of every window's runs of SEED words the one with the smallest
    hash is its seed; a count per seed, added up before the shuffle, tells which
    recur. Windows with a recurring seed are compared by two 64-bit hashes. Those
-   that occur in two places are confirmed; the document of the first of them
-   writes them down: maximal runs of confirmed windows, cut into passages of at most
-   SEGMENT windows, with their place. Exact copies of a text, found by SHA-256, add
-   nothing to be written down.
+   that occur twice are confirmed; the document with the smallest id that has them
+   writes them down: maximal runs of windows confirmed for it, cut into passages of at
+   most SEGMENT windows, with their place. Exact copies of a text, found by SHA-256,
+   add nothing to be written down.
 2. Automata. Documents are dealt into shards of about SHARD bytes. A passage goes to
-   each shard that has one of its seeds. Each shard compiles its passages' seeds
-   into an Aho-Corasick automaton over characters and streams all of its documents through
-   it, exact copies too. From each hit the passage is followed to both sides as far
-   as its words agree; of the stretches of `window` words or more so found in a document
-   those go whose passage was written down from an earlier place.
-
-Until the automata have run nothing is known of where passages occur but for the first
-place of each window. Nothing is collected; a passage that a third of all documents
+   each shard that has one of its seeds. Each shard compiles the first ANCHOR words of
+   its passages' seeds into an Aho-Corasick automaton, three letters a word, and
+   streams all of its documents through it, exact copies too. From each hit the
+   passage is followed to both sides as far as its words agree, and compared byte by
+   byte; of the stretches of `window` words or more so found in a document those go
+   whose passage was written down from an earlier place.
+
+Until the automata have run nothing is known of where passages occur but for the
+document that has each window first. Nothing is collected; a passage that a third of all documents
 share is one row per shard, and its windows add up to one row per task before they are
 shuffled.
 
@@ -45,9 +46,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, TextHasher, rolling, signed
 
 SEED = 6
+ANCHOR = 4
 SEGMENT = 64
-SHARD = 4 << 20
-STREAM = 4 << 20  # characters of one text that pass an automaton at once
+SHARD = 12 << 20
+STREAM = 4 << 20  # letters of one text that pass an automaton at once
 _RESULTS = ("n_words", "n_removed", "kept", "spans")
 
 
@@ -91,59 +93,60 @@ def runs(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _confirm(window: int, k: int):
-    """Shard by shard: windows with a recurring seed; `own` where the text has exact copies."""
+    """Shard by shard: distinct windows of each document with a recurring seed, and how often; once more where the text has exact copies."""
 
     def run(docs: pa.Table, lists: pa.Table) -> pa.Table:
         known = dict(zip(lists.column("doc_id").to_pylist(), zip(lists.column("seeds"), lists.column("copies").to_pylist(), lists.column("own").to_pylist(), strict=True), strict=True))
         parts = []
-        for i, h, raw in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "h", "raw")), strict=True):
+        for i, h, raw in zip(docs.column("doc_id").to_pylist(), docs.column("h").to_pylist(), docs.column("raw"), strict=True):
             if i not in known or h in known[i][1]:
                 continue
-            words = _hasher().spans(raw)[0]
+            words = _hasher().spans(raw.as_py())[0]
             if len(words) < window:
                 continue
             s, at = seed_places(words, window, k)
-            seeds = known[i][0].values.to_numpy().view(np.uint64)
-            cand = np.flatnonzero(np.isin(s[at], seeds))
-            parts.append((rolling(words, window)[cand], rolling(words, window, 77)[cand], np.full(len(cand), i, np.int64), cand.astype(np.int32), np.full(len(cand), h in known[i][2])))
-        a, b, c, d, e = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int32, bool))
-        return pa.Table.from_arrays([pa.array(signed(a)), pa.array(signed(b)), pa.array(c), pa.array(d), pa.array(e)], names=["w1", "w2", "doc_id", "pos", "own"])
+            cand = np.flatnonzero(np.isin(s, known[i][0].values.to_numpy().view(np.uint64))[at])
+            w, first, n = np.unique(rolling(words, window)[cand], return_index=True, return_counts=True)
+            parts.append((w, rolling(words, window, 77)[cand[first]], np.full(len(w), i, np.int64), n + (h in known[i][2])))
+        a, b, c, d = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return pa.Table.from_arrays([pa.array(signed(a)), pa.array(signed(b)), pa.array(c), pa.array(d)], names=["w1", "w2", "doc_id", "n"])
 
     return run
 
 
-def pack(text: bytes, seeds: np.ndarray, at: np.ndarray, size: np.ndarray) -> bytes:
-    """A passage, its words with a space around each, with its seeds' hashes, places and sizes in it."""
-    return struct.pack("<I", len(seeds)) + seeds.astype("<u8").tobytes() + at.astype("<u4").tobytes() + size.astype("<u4").tobytes() + text
+def pack(text: bytes, seeds: np.ndarray, at: np.ndarray) -> bytes:
+    """A passage, its words joined by one space, with its seeds' hashes and their words' numbers."""
+    return struct.pack("<I", len(seeds)) + seeds.astype("<u8").tobytes() + at.astype("<u4").tobytes() + text
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     n = struct.unpack_from("<I", blob)[0]
-    return np.frombuffer(blob, "<i8", n, 4), np.frombuffer(blob, "<u4", n, 4 + 8 * n), np.frombuffer(blob, "<u4", n, 4 + 12 * n), blob[4 + 16 * n :]
+    return np.frombuffer(blob, "<i8", n, 4), np.frombuffer(blob, "<u4", n, 4 + 8 * n), blob[4 + 12 * n :]
 
 
-def passages_of(raw: bytes, places: np.ndarray, window: int, k: int):
-    """(start, packed) of the passages of a text whose confirmed windows start at the given places."""
-    h, start, end = _hasher().spans(raw)
-    places = places[places + window <= len(h)]
+def passages_of(raw: bytes, confirmed: np.ndarray, window: int, k: int):
+    """(start, packed) of the passages of a text with the given windows, each where it is first."""
+    h = _hasher().spans(raw)[0]
+    w, first = np.unique(rolling(h, window), return_index=True)
+    places = np.sort(first[np.isin(w, confirmed)])
     if not len(places):
         return
     s, at = seed_places(h, window, k)
-    words, room = raw.split(), np.r_[0, np.cumsum(end - start + 1)]
+    words = raw.split()
     for first, last in runs(places):
         for a in range(first, last + 1, SEGMENT):
             b = min(a + SEGMENT - 1, last)
             p = np.unique(at[a : b + 1])
-            yield a, pack(b" " + b" ".join(words[a : b + window]) + b" ", s[p], room[p] - room[a], room[p + k] - room[p] + 1)
+            yield a, pack(b" ".join(words[a : b + window]), s[p], p - a)
 
 
 def _write_down(window: int, k: int):
     def run(docs: pa.Table, firsts: pa.Table) -> pa.Table:
-        places = dict(zip(firsts.column("doc_id").to_pylist(), firsts.column("places"), strict=True))
+        known = dict(zip(firsts.column("doc_id").to_pylist(), firsts.column("windows"), strict=True))
         home, start, blob = [], [], []
         for i, raw in zip(docs.column("doc_id").to_pylist(), docs.column("raw"), strict=True):
-            if i in places:
-                for a, packed in passages_of(raw.as_py(), np.sort(places[i].values.to_numpy()), window, k):
+            if i in known:
+                for a, packed in passages_of(raw.as_py(), known[i].values.to_numpy().view(np.uint64), window, k):
                     home.append(i)
                     start.append(a)
                     blob.append(packed)
@@ -163,69 +166,95 @@ def _seeds_of(batches):
 # -- automata ---------------------------------------------------------------------------
 
 
+def letters(h: np.ndarray) -> str:
+    """Three letters for each word, of alphabets of their own, so that a match begins with a word."""
+    x = np.empty((len(h), 3), np.uint8)
+    for i in range(3):
+        x[:, i] = (h >> np.uint64(46 + 6 * i)).astype(np.uint8) % 64 + 64 * i
+    return x.tobytes().decode("latin-1")
+
+
 class Shard:
     """Passages of a shard and the automaton of their seeds."""
 
-    def __init__(self, passages: list[tuple[int, int, bytes]], window: int):
+    def __init__(self, passages: list[tuple[int, int, bytes]], window: int, k: int = SEED):
         import ahocorasick
 
-        self.window, self.home, self.text = window, [], []
+        self.window, self.seed = window, 3 * k
+        passages = list(dict.fromkeys(passages))
+        self.home = [(home, start) for home, start, _ in passages]
+        parts = [unpack(blob) for *_, blob in passages]
+        self.words = [text for *_, text in parts]
+        spelled = letters(_hasher().spans(b" ".join(self.words))[0])
+        ends = np.cumsum([3 * (text.count(b" ") + 1) for text in self.words]).tolist()
+        self.text = [spelled[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        size = 3 * min(ANCHOR, k)
         patterns: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for home, start, blob in dict.fromkeys(passages):
-            _, at, size, text = unpack(blob)
-            letters = text.decode("latin-1")  # a character for each byte
-            for a, n in zip(at.tolist(), size.tolist(), strict=True):
-                patterns[letters[a : a + n]].append((len(self.text), a))
-            self.home.append((home, start))
-            self.text.append(letters)
-        self.longest = max(map(len, patterns), default=0)
+        for n, ((_, at, _), text) in enumerate(zip(parts, self.text, strict=True)):
+            for a in (3 * at.astype(np.int64)).tolist():
+                patterns[text[a : a + size]].append((n, a))
+        self.size = size
         self.automaton = ahocorasick.Automaton()
         for pattern, where in patterns.items():
-            self.automaton.add_word(pattern, (len(pattern), where))
+            self.automaton.add_word(pattern, where)
         self.automaton.make_automaton()
 
     def _hits(self, text: str):
-        if not self.longest:
+        if not self.text:
             return
         for lo in range(0, len(text), STREAM):
-            part = text if len(text) <= STREAM else text[lo : lo + STREAM + self.longest - 1]
-            for end, (size, where) in self.automaton.iter(part):
-                if end - size + 1 < STREAM:
-                    yield lo + end - size + 1, size, where
+            part = text if len(text) <= STREAM else text[lo : lo + STREAM + self.size - 1]
+            for end, where in self.automaton.iter(part):
+                yield lo + end - self.size + 1, where
 
-    def mask(self, doc_id: int, words: list[bytes]) -> np.ndarray:
+    def mask(self, doc_id: int, raw: bytes) -> np.ndarray:
         """Which words of the document lie in a window that also starts earlier."""
-        cover = np.zeros(len(words) + 1, np.int64)
-        text = f" {b' '.join(words).decode('latin-1')} "
-        found, whole = [], set()
-        for at, size, where in self._hits(text):
+        h, begin, end = _hasher().spans(raw)
+        cover = np.zeros(len(h) + 1, np.int64)
+        if len(h) < self.window:
+            return cover[:-1] > 0
+        text, found, whole, seed = letters(h), [], set(), self.seed
+        for at, where in self._hits(text):
             for k, off in where:
                 if (k, at - off) in whole:
                     continue
-                passage, (home, start) = self.text[k], self.home[k]
+                home, start = self.home[k]
                 if home > doc_id:
                     continue
+                passage = self.text[k]
                 if at >= off and text.startswith(passage, at - off):
                     whole.add((k, at - off))
-                    x, y = 0, len(passage) - 1
-                else:
-                    x = passage.index(" ", off - _alike(text, at, passage, off, -1))
-                    y = passage.rindex(" ", 0, off + size + _alike(text, at + size, passage, off + size, 1))
-                    if passage.count(" ", x, y) < self.window:
+                    x, y = 0, len(passage) // 3
+                elif text[at : at + seed] == passage[off : off + seed]:
+                    x = (off - _alike(text, at, passage, off, -1) + 2) // 3
+                    y = (off + seed + _alike(text, at + seed, passage, off + seed, 1)) // 3
+                    if y - x < self.window:
                         continue
-                found.append((at - off + x, at - off + y, home, start + (passage.count(" ", 0, x) if x else 0)))
-        if found:
-            a, b, home, start = np.array(found, np.int64).T
-            space = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
-            first, last = np.searchsorted(space, a), np.searchsorted(space, b)
-            earlier = (home < doc_id) | (start < first)
-            np.add.at(cover, first[earlier], 1)
-            np.add.at(cover, last[earlier], -1)
+                else:
+                    continue
+                first = (at - off) // 3 + x
+                if home < doc_id or start + x < first:
+                    found.append((first, first + y - x, k, x, y))
+        plain = None
+        for a, b, k, x, y in dict.fromkeys(found):
+            if plain is None:
+                plain = b" ".join(raw.split())
+                place = np.r_[0, np.cumsum(end - begin + 1)]
+            here, there = plain[place[a] : place[b] - 1], self.words[k]
+            if here == (there if y - x == len(self.text[k]) // 3 else b" ".join(there.split(b" ")[x:y])):
+                cover[a] += 1
+                cover[b] -= 1
+            else:  # other words with the same letters: as far as the words are the same
+                same = np.array([p == q for p, q in zip(here.split(b" "), there.split(b" ")[x:y], strict=True)])
+                for u, v in runs(np.flatnonzero(same)):
+                    if v - u + 1 >= self.window:
+                        cover[a + u] += 1
+                        cover[a + v + 1] -= 1
         return np.cumsum(cover[:-1]) > 0
 
 
 def _alike(text: str, i: int, other: str, j: int, way: int) -> int:
-    """How many characters before (way -1) or from (1) the places i and j on are the same."""
+    """How many letters before (way -1) or from (1) the places i and j on are the same."""
     low, high = 0, min(i, j) if way < 0 else min(len(text) - i, len(other) - j)
     while low < high:
         mid = (low + high + 1) // 2
@@ -241,13 +270,14 @@ def _nullable(kind: pa.DataType) -> pa.DataType:
     return pa.list_(_nullable(kind.value_type)) if pa.types.is_list(kind) else kind
 
 
-def _locate(window: int):
+def _locate(window: int, k: int):
     def run(docs: pa.Table, passages: pa.Table) -> pa.Table:
-        shard = Shard(list(zip(*(passages.column(c).to_pylist() for c in ("home", "start", "blob")), strict=True)), window)
+        shard = Shard(list(zip(*(passages.column(c).to_pylist() for c in ("home", "start", "blob")), strict=True)), window, k)
         n_words, n_removed, kept, starts, ends, sizes = [], [], [], [], [], []
         for i, raw in zip(docs.column("doc_id").to_pylist(), docs.column("raw"), strict=True):
-            words = raw.as_py().split()
-            mask = shard.mask(i, words) if i is not None and len(words) >= window else np.zeros(len(words), bool)
+            raw = raw.as_py()
+            words = raw.split()
+            mask = shard.mask(i, raw) if i is not None else np.zeros(len(words), bool)
             gone = runs(np.flatnonzero(mask))
             n_words.append(len(words))
             n_removed.append(int(mask.sum()))
@@ -295,14 +325,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", te
     at = F.when(F.col("doc_id").isNull(), F.xxhash64("raw")).otherwise(F.col("doc_id"))
     dealt = base.select(shard(at), "doc_id", F.xxhash64("raw").alias("h"), "raw", "rest")
     texts = dealt.groupby("shard")
-    windows = texts.cogroup(lists.groupby("shard")).applyInArrow(_confirm(window, k), "w1 long, w2 long, doc_id long, pos int, own boolean")
-    place = F.struct("doc_id", "pos")
-    first = windows.groupBy("w1", "w2").agg(F.min(place).alias("at"), F.max(place).alias("last"), F.max("own").alias("own")).filter("at < last or own")
-    firsts = first.groupBy("at.doc_id").agg(F.collect_list("at.pos").alias("places")).select(shard(F.col("doc_id")), "doc_id", "places")
+    windows = texts.cogroup(lists.groupby("shard")).applyInArrow(_confirm(window, k), "w1 long, w2 long, doc_id long, n long")
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n")).filter("n > 1")
+    firsts = first.groupBy("doc_id").agg(F.collect_list("w1").alias("windows")).select(shard(F.col("doc_id")), "doc_id", "windows")
     passages = texts.cogroup(firsts.groupby("shard")).applyInArrow(_write_down(window, k), "home long, start int, blob binary").repartition("home", "start")
     targets = lists.select("shard", F.explode("seeds").alias("seed")).distinct()
     routed = passages.mapInArrow(_seeds_of, "home long, start int, seed long").join(targets, "seed").select("home", "start", "shard").distinct()
     moved = routed.join(passages, ["home", "start"]).select("shard", "home", "start", "blob")
     rest = dealt.schema["rest"].dataType.simpleString()
-    out = texts.cogroup(moved.groupby("shard")).applyInArrow(_locate(window), f"doc_id long, rest {rest}, n_words long, n_removed long, kept binary, spans array<struct<start:int,`end`:int>>")
+    out = texts.cogroup(moved.groupby("shard")).applyInArrow(_locate(window, k), f"doc_id long, rest {rest}, n_words long, n_removed long, kept binary, spans array<struct<start:int,`end`:int>>")
     return out.select(F.col("doc_id").alias(doc_id), *[F.col(f"rest.`{c}`").alias(c) for c in keep], "n_words", "n_removed", F.col("kept").cast("string").alias("kept"), "spans")

@@ -53,14 +53,22 @@ def test_several_shards(spark, monkeypatch, stream):
     assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept) for x in got.collect()), key=str) == brute(rows, 6)
 
 
-def test_streaming_in_pieces_finds_the_same():
+def test_streaming_in_pieces_finds_the_same(monkeypatch):
     r = random.Random(5)
-    words = [r.choice([b"aa", b"b", b"cc"]) for _ in range(3000)]
-    text = b" ".join(words)
-    blobs = [(1, a, b) for a, b in substring_dedup.passages_of(text, substring_dedup.np.arange(100, 200), 8, 6)]
+    text = b" ".join(r.choice([b"aa", b"b", b"cc"]) for _ in range(3000))
+    windows = substring_dedup.rolling(substring_dedup._hasher().spans(text)[0], 8)
+    blobs = [(1, a, b) for a, b in substring_dedup.passages_of(text, windows[100:200], 8, 6)]
     masks = []
     for stream in (1 << 22, 97):
-        substring_dedup.STREAM, before = stream, substring_dedup.STREAM
-        masks.append(substring_dedup.Shard(blobs, 8).mask(2, words))
-        substring_dedup.STREAM = before
+        monkeypatch.setattr(substring_dedup, "STREAM", stream)
+        masks.append(substring_dedup.Shard(blobs, 8).mask(2, text))
     assert masks[0][100:200].all() and (masks[0] == masks[1]).all()
+
+
+def test_words_with_the_same_letters_are_told_apart(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "letters", lambda h: "abc" * len(h))
+    text = b"a b c d e f g h i j k l"
+    windows = substring_dedup.rolling(substring_dedup._hasher().spans(text)[0], 8)
+    shard = substring_dedup.Shard([(1, a, b) for a, b in substring_dedup.passages_of(text, windows, 8, 6)], 8)
+    assert shard.mask(2, text).all() and not shard.mask(2, text.replace(b"f", b"z")).any()
+    assert shard.mask(2, b"y " + text.replace(b"l", b"z") + b" x").tolist() == [False] + [True] * 11 + [False] * 2
