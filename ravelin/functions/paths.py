@@ -41,14 +41,14 @@ def glob(path: Column, pattern: str) -> Column:
 
 def language(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    out = F.lit(None).cast("string")
+    out = F.lit("unknown")
     for name, exts in LANGUAGES.items():
         out = F.when(ext.isin(*exts.split()), F.lit(name)).otherwise(out)
     return out
 
 
 # Endings of the languages.
-LANGUAGES = {"typescript": "ts tsx mts cts", "javascript": "js jsx mjs cjs", "json": "json", "python": "py pyi", "rust": "rs", "go": "go", "java": "java"}
+LANGUAGES = {"typescript": "ts tsx mts cts", "javascript": "js jsx mjs cjs", "json": "json", "python": "py", "rust": "rs", "go": "go", "java": "java"}
 
 
 def similarity_distance(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import excludes, paths, scoring, secrets
-from ..operators import graph, imports, retrieval, temporal
+from ..operators import graph, imports, ranges, retrieval, temporal
 from ..sources import tables as t
 from ..streaming import revisions
 
@@ -318,11 +318,11 @@ def rename_candidates(spark, d):
 _RANK = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in scoring.RANKS.items()) + " ELSE 0 END"
 _KINDS = "[" + ", ".join(f"'{k}'" for k in t.EVIDENCE_KINDS) + "]"
 FOLD = f"""ev AS (SELECT event_id, user_id AS claim_id, {_KINDS}[event_id % {len(t.EVIDENCE_KINDS)} + 1] AS kind, event_id % 97 = 0 AS contra, ts FROM events),
-fold AS (SELECT claim_id, count(*) AS n_evidence, max({_RANK}) AS top_rank, count(*) FILTER (kind <> 'llm_derivation') AS n_solid, count(DISTINCT CASE WHEN kind <> 'llm_derivation' THEN kind END) AS n_solid_kinds,
-  count(*) FILTER (kind = 'human_annotation') AS n_human, count(*) FILTER (contra) AS n_contra, CASE claim_id % 3 WHEN 0 THEN 'fresh' WHEN 1 THEN 'aging' ELSE 'stale' END AS freshness, CASE claim_id % 5 WHEN 0 THEN 'rejected' ELSE 'hypothesis' END AS prior FROM ev GROUP BY claim_id),
+fold AS (SELECT claim_id, count(*) FILTER (NOT contra) AS n_evidence, max({_RANK}) FILTER (NOT contra) AS top_rank, count(*) FILTER (NOT contra AND kind <> 'llm_derivation') AS n_solid, count(DISTINCT kind) FILTER (NOT contra AND kind <> 'llm_derivation') AS n_solid_kinds,
+  count(*) FILTER (NOT contra AND kind = 'human_annotation') AS n_human, count(*) FILTER (contra) AS n_contra, CASE claim_id % 3 WHEN 0 THEN 'fresh' WHEN 1 THEN 'aging' ELSE 'stale' END AS freshness, CASE claim_id % 5 WHEN 0 THEN 'rejected' ELSE 'hypothesis' END AS prior FROM ev GROUP BY claim_id),
 raw AS (SELECT *, CASE WHEN top_rank >= 6 THEN 3 WHEN top_rank >= 4 THEN 2 ELSE 1 END + (n_solid >= 2)::INT + (n_solid_kinds >= 2)::INT + (n_human > 0)::INT AS up,
   CASE WHEN n_contra > 0 THEN 2 ELSE 0 END + CASE freshness WHEN 'stale' THEN 2 WHEN 'aging' THEN 1 ELSE 0 END AS down FROM fold),
-scored AS (SELECT *, CASE WHEN n_solid = 0 THEN least(2, greatest(0, least(3, up) - down)) ELSE greatest(0, least(3, up) - down) END AS band_no,
+scored AS (SELECT *, CASE WHEN n_evidence = 0 THEN 0 WHEN n_solid = 0 THEN least(2, greatest(0, least(3, up) - down)) ELSE greatest(0, least(3, up) - down) END AS band_no,
   CASE WHEN n_contra > 0 THEN 'contradicted' WHEN prior = 'rejected' THEN 'rejected' WHEN n_human > 0 OR n_solid > 0 THEN 'confirmed' ELSE 'hypothesis' END AS status FROM raw),
 claims AS (SELECT *, ['none', 'low', 'medium', 'high'][band_no + 1] AS band FROM scored)"""
 
@@ -340,10 +340,10 @@ def confidence_bands(spark, d):
     return _claims(spark, d).select("claim_id", "band", "n_evidence")
 
 
-@query("freshness_bands", f"WITH {FOLD} SELECT claim_id, CASE WHEN n_evidence % 2 = 0 THEN CASE freshness WHEN 'fresh' THEN 'aging' ELSE 'stale' END ELSE freshness END AS freshness FROM claims")
+@query("freshness_bands", f"WITH {FOLD} SELECT claim_id, CASE WHEN n_evidence % 2 = 0 AND claim_id % 4 <> 1 THEN CASE freshness WHEN 'fresh' THEN 'aging' ELSE 'stale' END ELSE freshness END AS freshness FROM claims")
 def freshness_bands(spark, d):
-    """Touched claims step down."""
-    return _claims(spark, d).select("claim_id", scoring.step_down(F.col("freshness"), F.col("n_evidence") % 2 == 0).alias("freshness"))
+    """Touched claims step down, but those whose evidence is of the change's revision."""
+    return _claims(spark, d).select("claim_id", scoring.step_down(F.col("freshness"), F.col("n_evidence") % 2 == 0, F.col("claim_id") % 4 == 1).alias("freshness"))
 
 
 @query("claim_status", f"WITH {FOLD} SELECT claim_id, prior, status FROM claims")
@@ -352,24 +352,17 @@ def claim_status(spark, d):
     return _claims(spark, d).select("claim_id", "prior", "status")
 
 
-@query("surfaced_claims", f"WITH {FOLD} SELECT claim_id FROM claims WHERE n_evidence >= 1 AND n_solid >= 1 AND band_no >= 2")
+@query("surfaced_claims", f"WITH {FOLD} SELECT claim_id FROM claims WHERE n_evidence >= 1 AND claim_id % 7 >= 1 AND n_solid >= 1 AND band_no >= 2")
 def surfaced_claims(spark, d):
-    """B10."""
-    return _claims(spark, d).filter("n_evidence >= 1 and n_solid >= 1 and band_no >= 2").select("claim_id")
+    """B10; a claim has claim_id % 7 recipes."""
+    return _claims(spark, d).filter(scoring.surfaceable(F.col("claim_id") % 7)).select("claim_id")
 
 
-@query("list_claims_ranked", f"WITH {FOLD} SELECT claim_id, band, row_number() OVER (ORDER BY band_no DESC, claim_id) AS pos FROM claims WHERE band_no >= 2 AND status <> 'rejected' ORDER BY pos LIMIT 50")
+@query("list_claims_ranked", f"WITH {FOLD} SELECT claim_id, band, row_number() OVER (ORDER BY band_no DESC, claim_id) AS pos FROM claims WHERE band_no >= 2 AND status <> 'rejected'")
 def list_claims(spark, d):
-    """The first fifty by band, then id."""
-    top = _claims(spark, d).filter("band_no >= 2 and status <> 'rejected'").orderBy(F.desc("band_no"), "claim_id").limit(50)
-    return top.select("claim_id", "band", F.row_number().over(Window.orderBy(F.desc("band_no"), "claim_id")).cast("long").alias("pos"))
-
-
-@whole("list_claims_ranked_all")
-def list_claims_all(spark, d):
     """All by band, then id."""
-    rank = F.row_number().over(Window.orderBy(F.desc("band_no"), "claim_id")).cast("long")
-    return _claims(spark, d).filter("band_no >= 2 and status <> 'rejected'").select("claim_id", "band", rank.alias("pos"))
+    kept = _claims(spark, d).filter("band_no >= 2 and status <> 'rejected'").select("claim_id", "band", (3 - F.col("band_no")).alias("order"))
+    return ranges.numbered(kept, ["order", "claim_id"], "pos").select("claim_id", "band", "pos")
 
 
 @query("uncertainties", f"""WITH {FOLD} SELECT claim_id, 'missing_evidence' AS kind, 'high' AS severity FROM claims WHERE band = 'none' UNION ALL SELECT claim_id, 'low_confidence', 'medium' FROM claims WHERE band = 'low'
@@ -386,8 +379,7 @@ def evidence_agreement(spark, d):
     """A systematic sample of ten claims."""
     c = _claims(spark, d).select("claim_id", "n_contra")
     n = c.agg(F.greatest(F.lit(1), F.floor(F.count("*") / 10)).alias("step"))
-    w = Window.orderBy("claim_id")
-    i = c.withColumn("i", F.row_number().over(w) - 1).crossJoin(F.broadcast(n))  # one row
+    i = ranges.numbered(c, ["claim_id"], "i").withColumn("i", F.col("i") - 1).crossJoin(F.broadcast(n))  # one row
     s = i.filter("i % step = 0 and i < 10 * step")
     return s.agg(F.count("*").alias("sampled"), F.round(F.avg(F.when(F.col("n_contra") == 0, 1.0).otherwise(0.0)), 6).alias("rate"))
 
@@ -431,7 +423,7 @@ def percentiles(spark, d):
 
 # -- retrieval -----------------------------------------------------------------------
 
-TOK = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+TOK = r"list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 
 @query("fts_phrase", f"SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string({TOK}, ' ') || ' ' AS p FROM documents) WHERE contains(p, ' of the ')")
@@ -616,9 +608,9 @@ def secret_scrub(spark, d):
 
 @query("activity_stream", "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def activity_stream(spark, d):
-    """Counts per day and kind, from a stream of the events."""
+    """Beyond the reference: counts per day and kind, from a stream of the events."""
     events = spark.readStream.schema(t.load(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # as a pattern the table may be one file or a folder
-    return revisions.drain(revisions.activity(events)).select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+    return revisions.drain(revisions.activity(events), ["start", "event_type"]).select(F.unix_timestamp("start").alias("start"), "event_type", "n")
 
 
 @query("symbol_fallback", """WITH i AS (SELECT DISTINCT o_custkey AS path, o_orderdate AS name FROM orders WHERE o_orderstatus = 'F'), s AS (SELECT DISTINCT o_custkey AS target, o_orderdate AS name FROM orders WHERE o_orderstatus = 'P'),

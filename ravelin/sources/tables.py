@@ -56,10 +56,21 @@ def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.filter("nxt is not null and nxt <> l_partkey").groupBy(F.col("l_partkey").alias("src"), F.col("nxt").alias("dst")).agg(F.max("unc").alias("uncertain"))
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as source files: (key, path); a package a brand, directories by type, endings by size."""
+    kind, dot = F.col("p_size") % 9, F.lit(".ts")
+    for k, e in enumerate((".test.ts", ".d.ts", ".md", ".json", ".py", ".png", "/Makefile", ".xyz")):
+        dot = F.when(kind == k, e).otherwise(dot)
+    dot = F.when(F.col("p_partkey") % 50 == 0, "/server.ts").otherwise(dot)
+    brand, folder = F.lower(F.translate("p_brand", "#", "-")), F.translate(F.lower("p_type"), " ", "/")
+    path = F.concat(F.lit("packages/"), brand, F.lit("/src/"), folder, F.lit("/p"), F.col("p_partkey").cast("string"), dot)
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), path.alias("path"))
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as evidence on claims (one a user): kind, whether it contradicts."""
     kinds = F.element_at(F.array(*map(F.lit, EVIDENCE_KINDS)), (F.pmod(F.col("event_id"), F.lit(len(EVIDENCE_KINDS))) + 1).cast("int"))
     return load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("claim_id"), kinds.alias("kind"), (F.col("event_id") % 97 == 0).alias("contradicts"), "ts")
 
 
-EVIDENCE_KINDS = ["symbol_reference", "static_analysis_result", "tree_sitter_parse", "source_span", "git_change", "embedding_similarity", "llm_derivation", "test_result", "human_annotation"]
+EVIDENCE_KINDS = ["symbol_index_hit", "static_analysis_result", "tree_sitter_query", "source_span", "git_commit", "embedding_similarity", "llm_derivation", "test_result", "human_annotation"]

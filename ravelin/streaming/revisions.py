@@ -7,31 +7,30 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_folder
 
-def _shared(df: DataFrame) -> str:
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
+def drain(stream: DataFrame, key: list[str]) -> DataFrame:
+    """Everything that is there now, as a table with the last state of each key.
 
-def drain(stream: DataFrame) -> DataFrame:
-    """Everything that is there now, as a table; aggregates end in the state they have after the last batch.
-
-    Each batch writes under its own number, so a batch that runs again replaces
-    its own rows; the folder of the last one is the result.
+    The stream runs in update mode: a batch gives the rows that it changed, and state
+    that the watermark has passed is dropped. Each batch writes under its own
+    number, so one that runs again replaces its own rows.
     """
-    base = _shared(stream)
-    last: list[int] = []
+    base = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/{number}")
-        last.append(number)
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
     spark = stream.sparkSession
-    if not last:
+    if query.lastProgress is None:
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{base}/out/{max(last)}")
+    out = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch long").parquet(f"{base}/out")
+    rest = [c for c in stream.columns if c not in key]
+    last = out.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*key, *[F.col(f"last.{c}").alias(c) for c in rest]).select(stream.columns)
 
 
 def activity(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:

@@ -57,10 +57,10 @@ def test_phrase_operators_are_words(spark):
 
 
 def test_confidence(spark):
-    ev = [(1, "llm_derivation", False), (2, "symbol_reference", False), (2, "grep_match", True), (3, "git_change", False), (3, "grep_match", False), (4, "human_annotation", False)]
+    ev = [(1, "llm_derivation", False), (2, "symbol_index_hit", False), (2, "grep_hit", True), (3, "git_commit", False), (3, "grep_hit", False), (4, "human_annotation", False), (5, "symbol_index_hit", True), (5, "tree_sitter_query", False), (6, "grep_hit", True)]
     df = scoring.fold_evidence(spark.createDataFrame(ev, "claim_id long, kind string, contradicts boolean"))
     got = dict(df.select("claim_id", scoring.confidence(F.lit("fresh"))).collect())
-    assert got == {1: 1, 2: 1, 3: 3, 4: 3}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 0, 6: 0}
 
 
 def test_globs():
