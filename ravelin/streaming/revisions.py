@@ -13,8 +13,7 @@ from ..operators.lineage import shared_folder
 def drain(stream: DataFrame, key: list[str]) -> DataFrame:
     """Everything that is there now, as a table with the last state of each key.
 
-    The stream runs in update mode: a batch gives the rows that it changed, and state
-    that the watermark has passed is dropped. Each batch writes under its own
+    The stream runs in update mode: a batch gives the rows that it changed. Each batch writes under its own
     number, so one that runs again replaces its own rows.
     """
     base = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
@@ -33,8 +32,14 @@ def drain(stream: DataFrame, key: list[str]) -> DataFrame:
     return last.select(*key, *[F.col(f"last.{c}").alias(c) for c in rest]).select(stream.columns)
 
 
-def activity(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """(start, event_type, n) per tumbling window, with a watermark on `ts`; times without a zone are in the session's."""
+def activity(events: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:
+    """(start, event_type, n) per tumbling window; times without a zone are in the session's.
+
+    The state has a row for each window and type. With `late`, a watermark on `ts` drops
+    windows that old from the state, and rows that come later than that with them; without,
+    every row counts, in whatever order files are read.
+    """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    w = timed.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+    timed = timed.withWatermark("ts", late) if late else timed
+    w = timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
     return w.select(F.col("window.start").alias("start"), "event_type", "n")
