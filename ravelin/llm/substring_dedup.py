@@ -15,8 +15,8 @@ smaller id, or further up in the same one. Words are runs of bytes other than
 2. Automata. Documents are dealt into shards of about SHARD bytes. A passage goes to
    each shard that has one of its seeds. Each shard compiles the first ANCHOR words of
    its passages' seeds into an Aho-Corasick automaton, three letters a word, and
-   streams all of its documents through it, exact copies too. From each hit the
-   passage is followed to both sides as far as its words agree, and compared byte by
+   streams all of its documents through it, exact copies too. An anchor of many
+   passages leads to the earliest that has a window here in common with the document. From each hit the passage is followed to both sides as far as its words agree, and compared byte by
    byte; of the stretches of `window` words or more so found in a document those go
    whose passage was written down from an earlier place.
 
@@ -48,6 +48,7 @@ from .common import Scratch, TextHasher, rolling, signed
 SEED = 6
 ANCHOR = 4
 SEGMENT = 64
+CROWDED = 4  # an anchor with more entries has them by their windows
 SHARD = 12 << 20
 STREAM = 4 << 20  # letters of one text that pass an automaton at once
 _RESULTS = ("n_words", "n_removed", "kept", "spans")
@@ -195,10 +196,27 @@ class Shard:
                 patterns[text[a : a + size]].append((n, a))
         self.size = size
         self.automaton = ahocorasick.Automaton()
+        self.span = 3 * window
         for pattern, where in patterns.items():
-            self.automaton.add_word(pattern, where)
+            self.automaton.add_word(pattern, where if len(where) <= CROWDED else self._by_window(where))
         self.automaton.make_automaton()
 
+    def _by_window(self, where: list[tuple[int, int]]) -> dict[str, tuple[int, int]]:
+        """Of the passages with a window over one of the seeds the one that is earliest, by the window's letters."""
+        out: dict[str, tuple[int, int]] = {}
+        for n, a in sorted(where, key=lambda e: (self.home[e[0]][0], 3 * self.home[e[0]][1] + e[1])):
+            text = self.text[n]
+            for x in range(max(0, a + self.seed - self.span), min(a, len(text) - self.span) + 1, 3):
+                out.setdefault(text[x : x + self.span], (n, a))
+        return out
+
+    def _entries(self, text: str, at: int, where):
+        """Passages of an anchor, with the seed's place, that can have a window in common with the text here."""
+        if isinstance(where, list):
+            return where
+        over = range(max(0, at + self.seed - self.span), min(at, len(text) - self.span) + 1, 3)
+        return dict.fromkeys(entry for x in over if (entry := where.get(text[x : x + self.span])))
+
     def _hits(self, text: str):
         if not self.text:
             return
@@ -215,7 +233,7 @@ class Shard:
             return cover[:-1] > 0
         text, found, whole, seed = letters(h), [], set(), self.seed
         for at, where in self._hits(text):
-            for k, off in where:
+            for k, off in self._entries(text, at, where):
                 if (k, at - off) in whole:
                     continue
                 home, start = self.home[k]
