@@ -58,5 +58,5 @@ def test_claims_are_all_ranked(spark, tmp_path):
     d = str(tmp_path)
     claims = catalog._claims(spark, d).filter("band_no >= 2 and status <> 'rejected'").select("band_no", "claim_id", "band").collect()
     want = [(c, b, k) for k, (_, c, b) in enumerate(sorted((-n, c, b) for n, c, b in claims), 1)]
-    got = sorted((tuple(r) for r in catalog.whole_queries()["list_claims_ranked_all"](spark, d).collect()), key=lambda r: r[2])
+    got = sorted((tuple(r) for r in catalog.queries()["list_claims_ranked"](spark, d).collect()), key=lambda r: r[2])
     assert got == want and len(got) > 50
