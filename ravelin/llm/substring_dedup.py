@@ -186,9 +186,11 @@ class Shard:
         self.home = [(home, start) for home, start, _ in passages]
         parts = [unpack(blob) for *_, blob in passages]
         self.words = [text for *_, text in parts]
-        spelled = letters(_hasher().spans(b" ".join(self.words))[0])
+        hashes = _hasher().spans(b" ".join(self.words))[0]
+        spelled, self.windows = letters(hashes), rolling(hashes, window)
         ends = np.cumsum([3 * (text.count(b" ") + 1) for text in self.words]).tolist()
         self.text = [spelled[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        self.begin = [a // 3 for a in [0, *ends]]
         size = 3 * min(ANCHOR, k)
         patterns: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, ((_, at, _), text) in enumerate(zip(parts, self.text, strict=True)):
@@ -201,21 +203,25 @@ class Shard:
             self.automaton.add_word(pattern, where if len(where) <= CROWDED else self._by_window(where))
         self.automaton.make_automaton()
 
-    def _by_window(self, where: list[tuple[int, int]]) -> dict[str, tuple[int, int]]:
-        """Of the passages with a window over one of the seeds the one that is earliest, by the window's letters."""
-        out: dict[str, tuple[int, int]] = {}
+    def _by_window(self, where: list[tuple[int, int]]) -> dict[str, list[tuple[int, int]]]:
+        """Of the passages with a window over one of the seeds the one that is earliest, by the window's letters; one for each of different windows with the same letters."""
+        out: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        seen = set()
         for n, a in sorted(where, key=lambda e: (self.home[e[0]][0], 3 * self.home[e[0]][1] + e[1])):
             text = self.text[n]
-            for x in range(max(0, a + self.seed - self.span), min(a, len(text) - self.span) + 1, 3):
-                out.setdefault(text[x : x + self.span], (n, a))
-        return out
+            low, high = max(0, a + self.seed - self.span), min(a, len(text) - self.span)
+            for x, w in zip(range(low, high + 1, 3), self.windows[self.begin[n] + low // 3 : self.begin[n] + high // 3 + 1].tolist(), strict=True):
+                if w not in seen:
+                    seen.add(w)
+                    out[text[x : x + self.span]].append((n, a))
+        return dict(out)
 
     def _entries(self, text: str, at: int, where):
         """Passages of an anchor, with the seed's place, that can have a window in common with the text here."""
         if isinstance(where, list):
             return where
         over = range(max(0, at + self.seed - self.span), min(at, len(text) - self.span) + 1, 3)
-        return dict.fromkeys(entry for x in over if (entry := where.get(text[x : x + self.span])))
+        return dict.fromkeys(entry for x in over for entry in where.get(text[x : x + self.span], ()))
 
     def _hits(self, text: str):
         if not self.text:

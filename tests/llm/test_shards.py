@@ -72,3 +72,13 @@ def test_words_with_the_same_letters_are_told_apart(monkeypatch):
     shard = substring_dedup.Shard([(1, a, b) for a, b in substring_dedup.passages_of(text, windows, 8, 6)], 8)
     assert shard.mask(2, text).all() and not shard.mask(2, text.replace(b"f", b"z")).any()
     assert shard.mask(2, b"y " + text.replace(b"l", b"z") + b" x").tolist() == [False] + [True] * 11 + [False] * 2
+
+
+def test_a_crowded_anchor_keeps_different_windows_with_the_same_letters(monkeypatch):
+    """An earlier passage whose words have the same letters doesn't hide the one that the document repeats."""
+    monkeypatch.setattr(substring_dedup, "letters", lambda h: "abc" * len(h))
+    monkeypatch.setattr(substring_dedup, "CROWDED", 1)
+    texts = [b"a b c d e f g h", b"i j k l m n o p"]
+    windows = [substring_dedup.rolling(substring_dedup._hasher().spans(t)[0], 8) for t in texts]
+    shard = substring_dedup.Shard([(i, a, b) for i, t in enumerate(texts) for a, b in substring_dedup.passages_of(t, windows[i], 8, 6)], 8)
+    assert shard.mask(7, texts[0]).all() and shard.mask(7, texts[1]).all()
