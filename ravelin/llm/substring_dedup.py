@@ -7,23 +7,26 @@ smaller id, or further up in the same one. Words are runs of bytes other than
 
 1. Confirmation. Of every window's runs of SEED words the one with the smallest
    hash is its seed; a count per seed, added up before the shuffle, tells which
-   recur. Windows with a recurring seed are compared by two 64-bit hashes. Those
-   that occur twice are confirmed; the document with the smallest id that has them
-   writes them down: maximal runs of windows confirmed for it, cut into passages of at
-   most SEGMENT windows, with their place. Exact copies of a text, found by SHA-256,
-   add nothing to be written down.
-2. Automata. Documents are dealt into shards of about SHARD bytes. A passage goes to
-   each shard that has one of its seeds. Each shard compiles the first ANCHOR words of
-   its passages' seeds into an Aho-Corasick automaton, three letters a word, and
-   streams all of its documents through it, exact copies too. An anchor of many
-   passages leads to the earliest that has a window here in common with the document. From each hit the passage is followed to both sides as far as its words agree, and compared byte by
+   recur. Documents are dealt into shards of about SHARD bytes; each shard counts its
+   windows with a recurring seed by two 64-bit hashes, a text with copies in it once.
+   Those that occur twice in all are confirmed; the document with the smallest id that
+   has them writes them down: maximal runs of windows confirmed for it, cut into
+   passages of at most SEGMENT windows, with their place.
+2. Automata. A passage goes to each shard that counted one of its windows, but for the
+   first occurrence itself. Each shard compiles the first ANCHOR words of its passages'
+   seeds into an Aho-Corasick automaton, three letters a word, and streams all of its
+   documents through it, exact copies too. An anchor of many passages leads to the
+   earliest that has a window here in common with the document. From each hit the
+   passage is followed to both sides as far as its words agree, and compared byte by
    byte; of the stretches of `window` words or more so found in a document those go
    whose passage was written down from an earlier place.
 
-Until the automata have run nothing is known of where passages occur but for the
-document that has each window first. Nothing is collected; a passage that a third of all documents
-share is one row per shard, and its windows add up to one row per task before they are
-shuffled.
+Until the automata have run nothing is known of where in a shard passages occur but for
+the document that has each window first. Nothing is collected; a passage that a third of
+all documents share is one row per shard, and so are its windows.
+
+Each step ends with a table, so that its shuffle files can go before the next one: the
+texts are shuffled three times, but windows and passages never lie on disk together.
 
 Null or empty texts have no words. Rows that share a doc_id are one document:
 repeated rows get the same result each; of different texts under one id neither starts
@@ -34,16 +37,17 @@ the results is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections import defaultdict
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, TextHasher, rolling, signed
+from .common import Scratch, TextHasher, arrow_list, rolling, signed
 
 SEED = 6
 ANCHOR = 4
@@ -94,76 +98,97 @@ def runs(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _confirm(window: int, k: int):
-    """Shard by shard: distinct windows of each document with a recurring seed, and how often; once more where the text has exact copies."""
+    """Shard by shard: distinct windows with a recurring seed, the smallest document that has each, and how often it occurs."""
 
     def run(docs: pa.Table, lists: pa.Table) -> pa.Table:
-        known = dict(zip(lists.column("doc_id").to_pylist(), zip(lists.column("seeds"), lists.column("copies").to_pylist(), lists.column("own").to_pylist(), strict=True), strict=True))
+        known = dict(zip(lists.column("doc_id").to_pylist(), lists.column("seeds"), strict=True))
+        texts: dict[bytes, list] = {}  # text, smallest id, copies
+        for i, raw in zip(docs.column("doc_id").to_pylist(), docs.column("raw"), strict=True):
+            if i in known:
+                text = texts.setdefault(hashlib.sha256(raw.as_buffer()).digest(), [raw, i, 0])
+                text[1:] = min(text[1], i), text[2] + 1
         parts = []
-        for i, h, raw in zip(docs.column("doc_id").to_pylist(), docs.column("h").to_pylist(), docs.column("raw"), strict=True):
-            if i not in known or h in known[i][1]:
-                continue
+        for raw, i, copies in texts.values():
             words = _hasher().spans(raw.as_py())[0]
             if len(words) < window:
                 continue
             s, at = seed_places(words, window, k)
-            cand = np.flatnonzero(np.isin(s, known[i][0].values.to_numpy().view(np.uint64))[at])
+            cand = np.flatnonzero(np.isin(s, known[i].values.to_numpy().view(np.uint64))[at])
             w, first, n = np.unique(rolling(words, window)[cand], return_index=True, return_counts=True)
-            parts.append((w, rolling(words, window, 77)[cand[first]], np.full(len(w), i, np.int64), n + (h in known[i][2])))
+            parts.append((w, rolling(words, window, 77)[cand[first]], np.full(len(w), i, np.int64), n * copies))
         a, b, c, d = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        if len(a):
+            order = np.lexsort((c, b, a))
+            a, b, c, d = a[order], b[order], c[order], d[order]
+            new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            a, b, c, d = a[new], b[new], c[new], np.add.reduceat(d, new)
         return pa.Table.from_arrays([pa.array(signed(a)), pa.array(signed(b)), pa.array(c), pa.array(d)], names=["w1", "w2", "doc_id", "n"])
 
     return run
 
 
-def pack(text: bytes, seeds: np.ndarray, at: np.ndarray) -> bytes:
-    """A passage, its words joined by one space, with its seeds' hashes and their words' numbers."""
-    return struct.pack("<I", len(seeds)) + seeds.astype("<u8").tobytes() + at.astype("<u4").tobytes() + text
+def pack(text: bytes, at: np.ndarray) -> bytes:
+    """A passage, its words joined by one space, with the numbers of its seeds' first words."""
+    return struct.pack("<I", len(at)) + at.astype("<u4").tobytes() + text
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+def unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
     n = struct.unpack_from("<I", blob)[0]
-    return np.frombuffer(blob, "<i8", n, 4), np.frombuffer(blob, "<u4", n, 4 + 8 * n), blob[4 + 12 * n :]
+    return np.frombuffer(blob, "<u4", n, 4), blob[4 + 4 * n :]
 
 
-def passages_of(raw: bytes, confirmed: np.ndarray, window: int, k: int):
-    """(start, packed) of the passages of a text with the given windows, each where it is first."""
+def _passages(raw: bytes, confirmed: np.ndarray, window: int, k: int):
+    """(start, packed, windows) of the passages of a text with the given windows, each where it is first."""
     h = _hasher().spans(raw)[0]
-    w, first = np.unique(rolling(h, window), return_index=True)
+    rolled = rolling(h, window)
+    w, first = np.unique(rolled, return_index=True)
     places = np.sort(first[np.isin(w, confirmed)])
     if not len(places):
         return
-    s, at = seed_places(h, window, k)
+    _, at = seed_places(h, window, k)
     words = raw.split()
     for first, last in runs(places):
         for a in range(first, last + 1, SEGMENT):
             b = min(a + SEGMENT - 1, last)
-            p = np.unique(at[a : b + 1])
-            yield a, pack(b" ".join(words[a : b + window]), s[p], p - a)
+            yield a, pack(b" ".join(words[a : b + window]), np.unique(at[a : b + 1]) - a), rolled[a : b + 1]
+
+
+def passages_of(raw: bytes, confirmed: np.ndarray, window: int, k: int):
+    """(start, packed) of the passages of a text."""
+    for start, packed, _ in _passages(raw, confirmed, window, k):
+        yield start, packed
 
 
 def _write_down(window: int, k: int):
-    def run(docs: pa.Table, firsts: pa.Table) -> pa.Table:
-        known = dict(zip(firsts.column("doc_id").to_pylist(), firsts.column("windows"), strict=True))
-        home, start, blob = [], [], []
+    """Shard by shard: the passages that its documents have first, and the shards they go to."""
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        home, w, target = (found.column(c).to_numpy() for c in ("home", "w1", "target"))
+        w = w.view(np.uint64)
+        order = np.lexsort((w, home))
+        home, w, target = home[order], w[order], target[order]
+        ids, begin = np.unique(home, return_index=True)
+        known = dict(zip(ids.tolist(), zip(begin.tolist(), np.r_[begin, len(home)][1:].tolist(), strict=True), strict=True))
+        homes, start, blob, shards, sizes = [], [], [], [], []
         for i, raw in zip(docs.column("doc_id").to_pylist(), docs.column("raw"), strict=True):
-            if i in known:
-                for a, packed in passages_of(raw.as_py(), known[i].values.to_numpy().view(np.uint64), window, k):
-                    home.append(i)
-                    start.append(a)
-                    blob.append(packed)
-        return pa.Table.from_arrays([pa.array(home, pa.int64()), pa.array(start, pa.int32()), pa.array(blob, pa.binary())], names=["home", "start", "blob"])
+            if i not in known:
+                continue
+            own = slice(*known[i])
+            for a, packed, windows in _passages(raw.as_py(), w[own], window, k):
+                low, high = np.searchsorted(w[own], windows), np.searchsorted(w[own], windows, "right")
+                n = high - low
+                to = np.unique(target[own][np.repeat(high - np.cumsum(n), n) + np.arange(n.sum())])
+                homes.append(i)
+                start.append(a)
+                blob.append(packed)
+                shards.append(to)
+                sizes.append(len(to))
+        flat = np.concatenate(shards) if shards else np.empty(0, np.int64)
+        return pa.Table.from_arrays([pa.array(homes, pa.int64()), pa.array(start, pa.int32()), pa.array(blob, pa.binary()), arrow_list(flat, sizes)], names=["home", "start", "blob", "shards"])
 
     return run
 
 
-def _seeds_of(batches):
-    for batch in batches:
-        seeds = [unpack(b)[0] for b in batch.column("blob").to_pylist()]
-        n = [len(s) for s in seeds]
-        at = np.repeat(np.arange(len(n)), n)
-        yield pa.RecordBatch.from_arrays([batch.column("home").take(pa.array(at)), batch.column("start").take(pa.array(at)), pa.array(np.concatenate(seeds) if seeds else np.empty(0, np.int64))], names=["home", "start", "seed"])
-
-
 # -- automata ---------------------------------------------------------------------------
 
 
@@ -185,7 +210,7 @@ class Shard:
         passages = list(dict.fromkeys(passages))
         self.home = [(home, start) for home, start, _ in passages]
         parts = [unpack(blob) for *_, blob in passages]
-        self.words = [text for *_, text in parts]
+        self.words = [text for _, text in parts]
         hashes = _hasher().spans(b" ".join(self.words))[0]
         spelled, self.windows = letters(hashes), rolling(hashes, window)
         ends = np.cumsum([3 * (text.count(b" ") + 1) for text in self.words]).tolist()
@@ -193,7 +218,7 @@ class Shard:
         self.begin = [a // 3 for a in [0, *ends]]
         size = 3 * min(ANCHOR, k)
         patterns: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for n, ((_, at, _), text) in enumerate(zip(parts, self.text, strict=True)):
+        for n, ((at, _), text) in enumerate(zip(parts, self.text, strict=True)):
             for a in (3 * at.astype(np.int64)).tolist():
                 patterns[text[a : a + size]].append((n, a))
         self.size = size
@@ -331,31 +356,28 @@ def remove_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", te
         return F.pmod(F.xxhash64(of), F.lit(shards)).alias("shard")
 
     known = base.filter("doc_id is not null").select("doc_id", "raw")
-    # Tables, so that each pass over the texts runs once, and so that a join
+    # Tables, so that a step's shuffle files go when it is done, and so that a join
     # shuffles both sides and can split a hot key.
     scratch = Scratch(docs.sparkSession)
-    hashed = known.select("doc_id", F.sha2("raw", 256).alias("sha"), F.xxhash64("raw").alias("h"))
-    classes = scratch.keep(hashed.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last"))
-    same = hashed.join(classes, "sha").select("doc_id", F.lit(None).cast("long").alias("seed"), F.when(F.col("doc_id") > F.col("rep"), F.col("h")).alias("copy"), F.when(F.col("doc_id") == F.col("rep"), F.col("h")).alias("own"))
     seeds = scratch.keep(_seeds(known, window, k))
     recurring = scratch.keep(seeds.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"))
-    none = F.lit(None).cast("long")
-    marked = seeds.join(recurring, "seed").select("doc_id", "seed", none.alias("copy"), none.alias("own")).unionByName(same)
-    lists = marked.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"), F.collect_set("copy").alias("copies"), F.collect_set("own").alias("own"))
-    lists = scratch.keep(lists.select(shard(F.col("doc_id")), "doc_id", "seeds", "copies", "own"))
-    scratch.drop(seeds, recurring, classes)
+    lists = seeds.join(recurring, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
+    lists = scratch.keep(lists.select(shard(F.col("doc_id")), "doc_id", "seeds"))
+    scratch.drop(seeds, recurring)
 
-    # The texts take the same form each time, so they are shuffled once.
-    at = F.when(F.col("doc_id").isNull(), F.xxhash64("raw")).otherwise(F.col("doc_id"))
-    dealt = base.select(shard(at), "doc_id", F.xxhash64("raw").alias("h"), "raw", "rest")
-    texts = dealt.groupby("shard")
+    texts = known.select(shard(F.col("doc_id")), "doc_id", "raw").groupby("shard")
     windows = texts.cogroup(lists.groupby("shard")).applyInArrow(_confirm(window, k), "w1 long, w2 long, doc_id long, n long")
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n")).filter("n > 1")
-    firsts = first.groupBy("doc_id").agg(F.collect_list("w1").alias("windows")).select(shard(F.col("doc_id")), "doc_id", "windows")
-    passages = texts.cogroup(firsts.groupby("shard")).applyInArrow(_write_down(window, k), "home long, start int, blob binary").repartition("home", "start")
-    targets = lists.select("shard", F.explode("seeds").alias("seed")).distinct()
-    routed = passages.mapInArrow(_seeds_of, "home long, start int, seed long").join(targets, "seed").select("home", "start", "shard").distinct()
-    moved = routed.join(passages, ["home", "start"]).select("shard", "home", "start", "blob")
+    same = Window.partitionBy("w1", "w2")
+    counted = windows.select("*", F.min("doc_id").over(same).alias("home"), F.sum("n").over(same).alias("times"))
+    found = counted.filter("times > 1 and not (doc_id = home and n = 1)")
+    found = scratch.keep(found.select(shard(F.col("home")), "home", "w1", shard(F.col("doc_id")).alias("target")))
+    scratch.drop(lists)
+    passages = scratch.keep(texts.cogroup(found.groupby("shard")).applyInArrow(_write_down(window, k), "home long, start int, blob binary, shards array<long>"))
+    scratch.drop(found)
+
+    at = F.when(F.col("doc_id").isNull(), F.xxhash64("raw")).otherwise(F.col("doc_id"))
+    dealt = base.select(shard(at), "doc_id", "raw", "rest")
+    moved = passages.select(F.explode("shards").alias("shard"), "home", "start", "blob")
     rest = dealt.schema["rest"].dataType.simpleString()
-    out = texts.cogroup(moved.groupby("shard")).applyInArrow(_locate(window, k), f"doc_id long, rest {rest}, n_words long, n_removed long, kept binary, spans array<struct<start:int,`end`:int>>")
+    out = dealt.groupby("shard").cogroup(moved.groupby("shard")).applyInArrow(_locate(window, k), f"doc_id long, rest {rest}, n_words long, n_removed long, kept binary, spans array<struct<start:int,`end`:int>>")
     return out.select(F.col("doc_id").alias(doc_id), *[F.col(f"rest.`{c}`").alias(c) for c in keep], "n_words", "n_removed", F.col("kept").cast("string").alias("kept"), "spans")
