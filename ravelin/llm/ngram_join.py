@@ -279,7 +279,9 @@ def _degrees(scratch: Scratch, comp: DataFrame, reps: DataFrame, texts: DataFram
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["node", "n_links"])
 
     counted = parts.mapInArrow(run, "node long, n_links long")
-    return pairs.unionByName(counted).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    degrees = scratch.keep(pairs.unionByName(counted).groupBy("node").agg(F.sum("n_links").alias("n_links")))
+    scratch.drop(sized)
+    return degrees
 
 
 def join_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", count: bool = True) -> DataFrame:
@@ -309,7 +311,9 @@ def join_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str = "
     first = shared.select(F.col("key").alias("g"), block.alias("h"), "rep").unionByName(hubs.select(F.col("key").alias("g"), "h", "rep"))
     first = first.join(sigs, "rep").withColumn("label", F.col("rep"))
     pairs = scratch.keep(_traversal(first, num, den, True))
+    scratch.drop(groups)
     links = scratch.keep(_verify(pairs, texts, k, num, den))
+    scratch.drop(pairs)
     comp = components(scratch, links)
 
     # keys whose members are still apart
@@ -321,13 +325,15 @@ def join_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str = "
         F.col("key").alias("g"), (F.least("i", "j") * F.col("m") + F.greatest("i", "j")).alias("h"), "rep", "label"
     )
     pairs2 = scratch.keep(_traversal(second.join(sigs, "rep"), num, den, False))
+    scratch.drop(shared, comp)
     links2 = scratch.keep(_verify(pairs2, texts, k, num, den))
-    links = links.unionByName(links2)
-    comp = components(scratch, links)
+    scratch.drop(pairs2)
+    comp = components(scratch, links.unionByName(links2))
+    scratch.drop(links, links2)
     known, columns = comp, ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")]
     if count:
-        known = comp.join(scratch.keep(_degrees(scratch, comp, reps, texts, k, num, den)), "node", "left")
+        known = comp.join(_degrees(scratch, comp, reps, texts, k, num, den), "node", "left")
         columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     out = member.join(known, member["rep"] == known["node"], "left").select(*columns)
-    scratch.drop(shared, texts, pairs, pairs2)
+    scratch.drop(texts)
     return out
