@@ -1,6 +1,7 @@
 """Steps whose memory or disk must not outgrow the input."""
 
-from ravelin.operators import imports
+from ravelin.operators import graph, imports, ranges
+from ravelin.sources import tables as t
 
 
 def plan(df) -> str:
@@ -27,3 +28,20 @@ def test_symbol_bands_with_own_null_and_repeated_definitions(spark):
     i = spark.createDataFrame([("a", "X"), ("a", "X"), ("b", "X"), ("c", "X"), (None, "X"), ("a", None), ("a", "Y"), ("a", "Z")], "path string, name string")
     s = spark.createDataFrame([("a", "X"), ("b", "X"), ("b", "X"), (None, "X"), ("b", "Y"), (None, "Y"), ("a", "Z"), ("b", None)], "path string, name string")
     assert rows(imports.by_symbol(i, s)) == [("a", "X", "b", "medium"), ("a", "Y", "b", "medium"), ("b", "X", "a", "medium"), ("c", "X", "a", "low"), ("c", "X", "b", "low")]
+
+
+def test_import_edges_are_dealt_over_more_partitions_as_lineitem_grows(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    few = t.import_edges(spark, d)
+    monkeypatch.setattr(ranges, "STORED", 2048)
+    many = t.import_edges(spark, d)
+    n = ranges.parts(t.load(spark, d, "lineitem"))
+    assert n > 3 * few.rdd.getNumPartitions() and many.rdd.getNumPartitions() == n
+    assert rows(many) == rows(few)
+
+
+def test_searches_keep_no_pairs_in_memory(spark):
+    """Edges for a breadth-first search aren't made distinct: it takes each node once anyway."""
+    e = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (2, 3)], "src long, dst long")
+    assert "Aggregate" not in plan(graph.either_way(e))
+    assert rows(graph.reach(graph.either_way(e), spark.createDataFrame([(1,)], "node long"))) == [(1, 0), (2, 1), (3, 2)]
