@@ -114,8 +114,10 @@ def run_recipes(recipes: DataFrame, nodes: DataFrame, edges: DataFrame, contents
     evidence; a span out of range fails with it.
     """
     there = nodes.select(F.col("id").alias("symbol")).distinct().withColumn("__node", F.lit(True))
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = both.select(F.col("src").alias("from_id"), F.col("dst").alias("to_id")).withColumn("__edge", F.lit(True))
+    asked = recipes.filter("type = 'import_edge_check'").select("from_id", "to_id").distinct()  # the edges stay where they are: what is asked for comes to them, either way round
+    turned = F.explode(F.array(F.struct(F.col("from_id").alias("src"), F.col("to_id").alias("dst")), F.struct(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))))
+    both = asked.select("from_id", "to_id", turned.alias("e")).select("from_id", "to_id", "e.src", "e.dst").join(edges.select("src", "dst"), ["src", "dst"], "left_semi")
+    both = both.select("from_id", "to_id").distinct().withColumn("__edge", F.lit(True))
     text = contents.select("path", F.col("content").alias("__content"))
     r = recipes.join(there, "symbol", "left").join(both, ["from_id", "to_id"], "left").join(text, "path", "left")
     kind, content, lines = F.col("type"), F.col("__content"), F.size(F.split("__content", "\n"))

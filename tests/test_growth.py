@@ -1,6 +1,6 @@
 """Steps whose memory or disk must not outgrow the input."""
 
-from ravelin.operators import graph, imports, ranges, rules
+from ravelin.operators import claims, graph, imports, ranges, rules
 from ravelin.plans import engine
 from ravelin.sources import tables as t
 
@@ -55,3 +55,15 @@ def test_ends_of_imports_send_no_table_of_files_to_every_task(spark):
     want = rules.joined(engine._links(spark, d).select("from_path", "to_path"), rules.membership(t.files(spark, d).select("path"), engine.BOUNDARIES))
     cols = ["from_path", "to_path", "from_boundary", "from_public", "to_boundary", "to_public"]
     assert sorted(map(str, ends.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+
+
+def test_recipes_ask_for_edges_without_doubling_them(spark):
+    """Pairs that are asked for are turned round, not all edges; either way round counts, an end that is missing doesn't."""
+    kind = "import_edge_check"
+    made = [(1, kind, 1, 2), (2, kind, 2, 1), (3, kind, 2, 3), (4, kind, None, 2), (5, kind, 2, None), (6, "shell", 1, 2), (7, kind, 4, 4), (8, kind, 1, 2)]
+    r = spark.createDataFrame(made, "claim_id long, type string, from_id long, to_id long").selectExpr("*", "0 as place", "'s' as symbol", "'p' as path", "1 as start_line", "1 as end_line", "'the' as pattern")
+    e = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (4, 4), (2, 9)], "src long, dst long")
+    out = claims.run_recipes(r, spark.createDataFrame([], "id string"), e, spark.createDataFrame([], "path string, content string"))
+    assert rows(out.select("claim_id", "passed")) == [(1, True), (2, True), (3, False), (4, False), (5, False), (6, False), (7, True), (8, True)]
+    lines = plan(out).splitlines()
+    assert sum("LeftSemi" in line for line in lines) == 1 and not any("Union" in line for line in lines)
