@@ -16,6 +16,7 @@ gives an empty table.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,21 @@ SAMPLES = 128
 BLOCK_BITS = 12
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """`mix` in place, so that a block makes one temporary array a step."""
+    t = np.empty_like(x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        np.right_shift(x, np.uint64(shift), out=t)
+        x ^= t
+        if factor is not None:
+            x *= np.uint64(factor)
+    return x
+
+
 class Signer:
     """Signatures of texts; remembers the values of the terms in use, up to a bound."""
 
-    MOST, STEP = 40_000, 8_192
+    MOST, STEP, BLOCK = 40_000, 8_192, 256  # a block of values stays in a core's cache
 
     def __init__(self, samples: int = SAMPLES):
         import xxhash
@@ -46,21 +58,40 @@ class Signer:
     def _learn(self, new: list[str]) -> None:
         lo = len(self.row)
         h = np.array([self.hash(w.encode("utf-8", "surrogatepass")) for w in new], np.uint64)
-        for a in range(0, len(new), 1024):
-            part = h[a : a + 1024, None]
+        half = np.float32(0.5)
+
+        def unit(x):  # a product of two uniform numbers from the halves of x
+            y = (x >> np.uint64(32)).astype(np.float32)
+            y += half
+            x &= np.uint64(0xFFFFFFFF)
+            z = x.astype(np.float32)
+            z += half
+            y *= z
+            y *= np.float32(2.0**-64)
+            np.minimum(y, np.float32(1 - 2**-20), out=y)
+            np.log(y, out=y)
+            return np.negative(y, out=y)
+
+        for a in range(0, len(new), self.BLOCK):
+            part = h[a : a + self.BLOCK, None]
             at = slice(lo + a, lo + a + len(part))
-            pair = lambda x: ((x >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * ((x & np.uint64(0xFFFFFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-64)
-            self.r[at] = -np.log(np.minimum(pair(mix(part ^ self.salts[0])), np.float32(1 - 2**-20)))
-            self.c[at] = np.log(-np.log(np.minimum(pair(mix(part ^ self.salts[1])), np.float32(1 - 2**-20))))
-            self.b[at] = (mix(part ^ self.salts[2]) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-            self.once[at] = self.c[at] - self.r[at] * (1 - self.b[at])
+            r, c, b, once = self.r[at], self.c[at], self.b[at], self.once[at]
+            r[:] = unit(mixed(part ^ self.salts[0]))
+            np.log(unit(mixed(part ^ self.salts[1])), out=c)
+            x = mixed(part ^ self.salts[2])
+            x >>= np.uint64(40)
+            b[:] = x
+            b *= np.float32(2.0**-24)
+            np.subtract(np.float32(1), b, out=once)  # c - r * (1 - b)
+            once *= r
+            np.subtract(c, once, out=once)
         self.terms[lo : lo + len(new)] = h
         self.row.update(zip(new, range(lo, lo + len(new)), strict=True))
 
     def _rows(self, words: list[str]) -> np.ndarray:
         row = self.row
         try:
-            return np.array([row[w] for w in words])
+            return np.array([*map(row.__getitem__, words)])
         except KeyError:
             new = [w for w in words if w not in row]
             if len(row) + len(new) > self.MOST:
@@ -74,15 +105,13 @@ class Signer:
         if not text:
             return b""
         words = text.split() or [text]
-        count: dict[str, int] = {}
-        for w in words:
-            count[w] = count.get(w, 0) + 1
-        terms = [*count]
+        count = Counter(words)
+        terms, counts = [*count], np.array([*count.values()])
         best, code = np.full(self.k, np.inf, np.float32), np.zeros(self.k, np.uint64)
         for lo in range(0, len(terms), self.STEP):
             part = terms[lo : lo + self.STEP]
             at = self._rows(part)
-            n = np.array([count[w] for w in part])
+            n = counts[lo : lo + self.STEP]
             a = self.once[at]
             t = None
             many = np.flatnonzero(n > 1)
