@@ -20,6 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +42,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Signer:
-    """Signatures of texts; remembers the values of the terms in use, up to a bound."""
+    """Signatures of texts, made by groups of them.
+
+    A group's words are split and numbered at once, and the values of each distinct
+    one are made once, in blocks. Most words stand once in a text: what they come to
+    then is kept for all of them, at most MOST; r, b and c are kept for the FULL most
+    frequent, and made when they are asked for, for SPARE others at a time. Large
+    arrays are made once: one that is made for a text is mapped and given back each
+    time, which takes longer than to fill it.
+    """
 
-    MOST, STEP, BLOCK = 40_000, 8_192, 256  # a block of values stays in a core's cache
+    MOST, FULL, SPARE, CHARS = 160_000, 16_384, 4_096, 6_000_000  # distinct terms and characters of a group at most
+    STEP, BLOCK, PART = 8_192, 128, 512  # a block of values, and a part of a text's, stay in a core's cache
 
     def __init__(self, samples: int = SAMPLES):
         import xxhash
@@ -51,86 +61,189 @@ class Signer:
         self.hash = xxhash.xxh3_64_intdigest
         self.k = samples
         self.salts = mix(np.arange(1, 3 * samples + 1, dtype=np.uint64)).reshape(3, samples)
-        self.row: dict[str, int] = {}
-        self.terms = np.zeros(self.MOST, np.uint64)
-        self.once, self.r, self.b, self.c = (np.zeros((self.MOST, samples), np.float32) for _ in range(4))
-
-    def _learn(self, new: list[str]) -> None:
-        lo = len(self.row)
-        h = np.array([self.hash(w.encode("utf-8", "surrogatepass")) for w in new], np.uint64)
-        half = np.float32(0.5)
-
-        def unit(x):  # a product of two uniform numbers from the halves of x
-            y = (x >> np.uint64(32)).astype(np.float32)
-            y += half
-            x &= np.uint64(0xFFFFFFFF)
-            z = x.astype(np.float32)
-            z += half
-            y *= z
-            y *= np.float32(2.0**-64)
-            np.minimum(y, np.float32(1 - 2**-20), out=y)
-            np.log(y, out=y)
-            return np.negative(y, out=y)
-
-        for a in range(0, len(new), self.BLOCK):
-            part = h[a : a + self.BLOCK, None]
-            at = slice(lo + a, lo + a + len(part))
-            r, c, b, once = self.r[at], self.c[at], self.b[at], self.once[at]
-            r[:] = unit(mixed(part ^ self.salts[0]))
-            np.log(unit(mixed(part ^ self.salts[1])), out=c)
-            x = mixed(part ^ self.salts[2])
-            x >>= np.uint64(40)
-            b[:] = x
-            b *= np.float32(2.0**-24)
+        self.terms, self.codes = np.zeros(self.MOST, np.uint64), np.zeros(self.MOST, np.uint64)
+        self.once = np.zeros((self.MOST, samples), np.float32)
+        self.slot, self.slots, self.kept = np.full(self.MOST, -1), 0, 0  # where a term's r, b and c are; how many there are, and how many stay
+        self.r, self.b, self.c = (np.zeros((self.FULL + self.SPARE, samples), np.float32) for _ in range(3))
+        self._first = np.zeros(self.MOST, np.intp)
+        salts = self.salts.ravel()
+        self._salt = np.tile(salts ^ (salts >> np.uint64(30)), (self.BLOCK, 1))
+        self._x, self._t = (np.empty((self.BLOCK, 3 * samples), np.uint64) for _ in range(2))
+        self._halves = np.empty((self.BLOCK, 4 * samples), np.float32)
+        self._rc = np.empty((self.BLOCK, 2 * samples), np.float32)
+        self._top = np.empty((self.BLOCK, samples), np.uint32)
+        self._b = np.empty((self.BLOCK, samples), np.float32)
+        self._a = np.empty((self.PART, samples), np.float32)
+        self._least = np.empty((self.PART, samples), bool)
+        self._many = [np.empty((self.PART, samples), np.float32) for _ in range(4)]
+
+    # -- values of terms ---------------------------------------------------------
+
+    def _values(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r, b and c of a block of terms, in arrays that the next block takes."""
+        k, n, half = self.k, len(terms), np.float32(0.5)
+        x, t, u, rc, b, top = (v[:n] for v in (self._x, self._t, self._halves, self._rc, self._b, self._top))
+        np.copyto(x, (terms ^ (terms >> np.uint64(30)))[:, None])  # the first step of `mix` may be taken before the salts come in
+        x ^= self._salt[:n]
+        for shift, factor in ((27, 0xBF58476D1CE4E5B9), (31, 0x94D049BB133111EB)):
+            x *= np.uint64(factor)
+            np.right_shift(x, np.uint64(shift), out=t)
+            x ^= t
+        parts = x.view("<u4")
+        np.copyto(u, parts[:, : 4 * k], casting="unsafe")
+        u += half
+        np.multiply(u[:, 1::2], u[:, ::2], out=rc)  # a product of two uniform numbers from the halves of x
+        rc *= np.float32(2.0**-64)
+        np.minimum(rc, np.float32(1 - 2**-20), out=rc)
+        np.log(rc, out=rc)
+        np.negative(rc, out=rc)
+        r, c = rc[:, :k], rc[:, k:]
+        np.log(c, out=c)
+        np.right_shift(parts[:, 4 * k + 1 :: 2], np.uint32(8), out=top)
+        np.copyto(b, top, casting="unsafe")
+        b *= np.float32(2.0**-24)
+        return r, b, c
+
+    def _full(self, rows: np.ndarray, r: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
+        lo, self.slots = self.slots, self.slots + len(rows)
+        self.slot[rows] = np.arange(lo, self.slots)
+        self.r[lo : self.slots], self.b[lo : self.slots], self.c[lo : self.slots] = r, b, c
+
+    def _learn(self, words: list[bytes], counts: np.ndarray) -> None:
+        """The values of these terms, instead of any others."""
+        n = len(words)
+        often = np.ones(n, bool)
+        if n > self.FULL:
+            often[np.argpartition(counts, n - self.FULL)[: n - self.FULL]] = False
+        h = self.terms[:n]
+        h[:] = np.fromiter(map(self.hash, words), np.uint64, n)
+        self.codes[:n] = mixed(h ^ mix(np.ones(1, np.uint64)))
+        self.slot[:n], self.slots = -1, 0
+        for i in range(0, n, self.BLOCK):
+            r, b, c = self._values(h[i : i + self.BLOCK])
+            once = self.once[i : i + len(r)]
             np.subtract(np.float32(1), b, out=once)  # c - r * (1 - b)
             once *= r
             np.subtract(c, once, out=once)
-        self.terms[lo : lo + len(new)] = h
-        self.row.update(zip(new, range(lo, lo + len(new)), strict=True))
-
-    def _rows(self, words: list[str]) -> np.ndarray:
-        row = self.row
-        try:
-            return np.array([*map(row.__getitem__, words)])
-        except KeyError:
-            new = [w for w in words if w not in row]
-            if len(row) + len(new) > self.MOST:
-                row.clear()
-                new = words
-            self._learn(new)
-            return np.array([row[w] for w in words])
+            at = np.flatnonzero(often[i : i + len(r)])
+            self._full(i + at, r[at], b[at], c[at])
+        self.kept = self.slots
+
+    def _slots(self, rows: np.ndarray) -> np.ndarray:
+        """Where r, b and c of these terms are; PART terms at most."""
+        new = rows[self.slot[rows] < 0]
+        if self.slots + len(new) > len(self.r):
+            self.slot[self.slot >= self.kept] = -1
+            self.slots = self.kept
+            new = rows[self.slot[rows] < 0]
+        for i in range(0, len(new), self.BLOCK):
+            part = new[i : i + self.BLOCK]
+            self._full(part, *self._values(self.terms[part]))
+        return self.slot[rows]
+
+    # -- signatures ----------------------------------------------------------------
 
     def __call__(self, text: str | None) -> bytes:
         """SAMPLES little-endian 16-bit numbers; nothing for an empty text."""
+        return self.sign([text])[0]
+
+    def sign(self, texts: list[str | None]) -> list[bytes]:
+        """The signatures of texts, in their order."""
+        out, lo, chars = [], 0, 0
+        for i, t in enumerate(texts):
+            chars += len(t or "")
+            if chars > self.CHARS and i > lo:
+                out += self._group(texts[lo:i])
+                lo, chars = i, len(t or "")
+        return out + self._group(texts[lo:]) if lo < len(texts) else out
+
+    def _group(self, texts: list[str | None]) -> list[bytes]:
+        words = None
+        if len(texts) > 1 or len(texts[0] or "") <= self.CHARS:
+            try:
+                split = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.string()))  # as str.split, but with empty words at white space on the ends
+                words = split.flatten().dictionary_encode()
+            except UnicodeEncodeError:  # half a surrogate pair
+                pass
+        if words is None or len(words.dictionary) > self.MOST:
+            half = len(texts) // 2
+            return self._group(texts[:half]) + self._group(texts[half:]) if half else [self._long(texts[0])]
+        rows = words.indices.to_numpy()
+        self._learn(words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), np.bincount(rows))
+        ends, empty = split.offsets.to_numpy(), words.dictionary.index("").as_py()  # -1 for none
+        out, bare = [], []
+        for i, (t, lo, hi) in enumerate(zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            at = rows[lo:hi]
+            if at[0] == empty or at[-1] == empty:
+                at = at[at != empty]
+            out.append(self._signed(at) if len(at) else b"")
+            if t and not len(at):
+                bare.append(i)
+        for i in bare:  # they are terms themselves
+            out[i] = self._long(texts[i])
+        return out
+
+    def _long(self, text: str | None) -> bytes:
+        """The signature of one text, by STEP terms at a time."""
         if not text:
             return b""
-        words = text.split() or [text]
-        count = Counter(words)
-        terms, counts = [*count], np.array([*count.values()])
-        best, code = np.full(self.k, np.inf, np.float32), np.zeros(self.k, np.uint64)
+        bag = Counter(text.split() or [text])
+        terms, counts = [w.encode("utf-8", "surrogatepass") for w in bag], np.fromiter(bag.values(), np.int64, len(bag))
+        best, code = self._none()
         for lo in range(0, len(terms), self.STEP):
-            part = terms[lo : lo + self.STEP]
-            at = self._rows(part)
-            n = counts[lo : lo + self.STEP]
-            a = self.once[at]
-            t = None
-            many = np.flatnonzero(n > 1)
+            part, count = terms[lo : lo + self.STEP], counts[lo : lo + self.STEP]
+            self._learn(part, count)
+            self._lower(np.arange(len(part)), count, best, code)
+        return code.astype("<u2").tobytes()
+
+    def _none(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.full(self.k, np.inf, np.float32), np.zeros(self.k, np.uint64)
+
+    def _signed(self, words: np.ndarray) -> bytes:
+        """The signature of words by their rows."""
+        place = np.arange(len(words))
+        self._first[words[::-1]] = place[::-1]  # of repeated words the first place stays
+        first = self._first[words]
+        heads = np.flatnonzero(first == place)
+        best, code = self._none()
+        self._lower(words[heads], np.bincount(first)[heads], best, code)
+        return code.astype("<u2").tobytes()
+
+    def _lower(self, rows: np.ndarray, counts: np.ndarray, best: np.ndarray, code: np.ndarray) -> None:
+        """Lowers `best` by terms and their counts, and gives the samples they win their codes."""
+        k = self.k
+        for i in range(0, len(rows), self.PART):
+            at, count = rows[i : i + self.PART], counts[i : i + self.PART]
+            a = np.take(self.once, at, 0, out=self._a[: len(at)], mode="clip")
+            many = np.flatnonzero(count > 1)
             if len(many):
-                r, b = self.r[at[many]], self.b[at[many]]
-                t = np.floor(np.log(n[many].astype(np.float32))[:, None] / r + b)
-                a[many] = self.c[at[many]] - r * (t - b) - r
-            win = a.argmin(0)
-            low = a[win, np.arange(self.k)]
-            level = np.zeros(self.k, np.int64)
-            if t is not None:
-                place = np.full(len(part), -1)
-                place[many] = np.arange(len(many))
-                p = place[win]
-                level = np.where(p >= 0, t[np.maximum(p, 0), np.arange(self.k)], 0).astype(np.int64)
-            mark = mix(self.terms[at[win]] ^ mix(level.astype(np.uint64) + np.uint64(1)))
+                r, b, c, t = (v[: len(many)] for v in self._many)
+                slots = self._slots(at[many])
+                for values, out in ((self.r, r), (self.b, b), (self.c, c)):
+                    np.take(values, slots, 0, out=out, mode="clip")
+                np.divide(np.log(count[many].astype(np.float32))[:, None], r, out=t)
+                t += b
+                np.floor(t, out=t)
+                np.subtract(t, b, out=b)  # c - r * (t - b) - r
+                b *= r
+                c -= b
+                c -= r
+                a[many] = c
+            low = a.min(0)
+            flat = np.flatnonzero(np.equal(a, low, out=self._least[: len(at)]))[::-1]
+            win = np.empty(k, np.intp)
+            win[flat % k] = flat // k  # of equals the first one stays
+            mark = self.codes[at[win]]
+            if len(many):
+                of = np.full(len(at), -1)
+                of[many] = np.arange(len(many))
+                of = of[win]
+                cols = np.flatnonzero(of >= 0)
+                level = t[of[cols], cols].astype(np.int64).astype(np.uint64)
+                mark[cols] = mixed(self.terms[at[win[cols]]] ^ mixed(level + np.uint64(1)))
             better = low < best
-            best, code = np.where(better, low, best), np.where(better, mark, code)
-        return code.astype("<u2").tobytes()
+            np.copyto(best, low, where=better)
+            np.copyto(code, mark, where=better)
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -149,7 +262,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", ke
     def run(batches):
         sign = Signer()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([sign(t).hex() for t in batch.column(batch.num_columns - 1).to_pylist()], pa.string())], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x.hex() for x in sign.sign(batch.column(batch.num_columns - 1).to_pylist())], pa.string())], names=[*keep, out])
 
     return src.mapInArrow(run, schema)
 
@@ -215,22 +328,35 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         def emit(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        for batch in batches:
-            out = []
-            for doc, z, sid, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = unpack(z).decode("utf-8", "surrogatepass")
-                fp = sign(t)
-                if held is None or held[1] != block:
+        def pairs(rows):
+            nonlocal held
+            before, texts = held and held[:2] + held[3:4], []
+            for sid, block, _, t, _ in rows:  # each text after the edited copy that ends with it
+                texts += [edit(before[2], t) if before and before[1] == block else None, t]
+                before = (sid, block, t)
+            out, signs = [], iter(sign.sign(texts))
+            for (sid, block, doc, t, z), e in zip(rows, texts[::2], strict=True):
+                efp, fp = next(signs), next(signs)
+                if e is None:
                     if held is not None:
                         out.append(last(held))
                     out.append((sid, block, 1, doc, None, None, fp, None, None, None, z))  # a block's first row, for the block above
                 else:
-                    e = edit(held[3], t)
-                    efp = sign(e)
                     out.append((held[0], block, 0, held[2], len(held[3]), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), held[4], efp, likeness(held[4], efp), likeness(held[4], fp), None))
                 held = (sid, block, doc, t, fp, z)
-            if out:
-                yield emit(out)
+            return emit(out)
+
+        rows, chars = [], 0
+        for batch in batches:
+            for doc, z, sid, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t = unpack(z).decode("utf-8", "surrogatepass")
+                rows.append((sid, block, doc, t, z))
+                chars += 2 * len(t)  # with its edited copy
+                if chars >= sign.CHARS or len(rows) >= 4096:
+                    yield pairs(rows)
+                    rows, chars = [], 0
+        if rows:
+            yield pairs(rows)
         if held is not None:
             yield emit([last(held)])
 
@@ -259,13 +385,17 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         unpack = zstandard.ZstdDecompressor().decompress
         sign = Signer()
         for batch in batches:
-            shas, efps, ne, nn = [], [], [], []
-            for fp, z, z2, fp2 in zip(*(batch.column(c).to_pylist() for c in ("fp", "z", "z2", "fp2")), strict=True):
-                e = edit(*(unpack(x).decode("utf-8", "surrogatepass") for x in (z, z2)))
-                efps.append(sign(e))
-                shas.append(hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest())
-                ne.append(likeness(fp, efps[-1]))
-                nn.append(likeness(fp, fp2))
+            fps, zs, z2s, fp2s = (batch.column(c).to_pylist() for c in ("fp", "z", "z2", "fp2"))
+            efps, shas, es, chars = [], [], [], 0
+            for pair in zip(zs, z2s, strict=True):
+                es.append(edit(*(unpack(x).decode("utf-8", "surrogatepass") for x in pair)))
+                shas.append(hashlib.sha256(es[-1].encode("utf-8", "surrogatepass")).hexdigest())
+                chars += len(es[-1])
+                if chars >= sign.CHARS:
+                    efps += sign.sign(es)
+                    es, chars = [], 0
+            efps += sign.sign(es)
+            ne, nn = [*map(likeness, fps, efps)], [*map(likeness, fps, fp2s)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_chars"), pa.array(shas, pa.string()), batch.column("fp"), pa.array(efps, pa.binary()), pa.array(ne, pa.float64()), pa.array(nn, pa.float64())], names=["doc_id", "n_chars", "edited_sha256", "fp", "edited", "near_edited", "near_next"])
 
     rest = ends.mapInArrow(finish, "doc_id long, n_chars long, edited_sha256 string, fp binary, edited binary, near_edited double, near_next double")
